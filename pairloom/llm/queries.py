@@ -7,15 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import bpe, flac, simhash
+from pairloom.llm import bpe, flac, importance, simhash, toxicity
 from pairloom.llm.frames import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted and evidence of every document."""
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resampled documents: doc_id, log_weight, rank_key."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as FLAC, read back and digested."""
     return flac.digests(table(spark, sf_dir, "documents"))
@@ -27,7 +37,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_simhash": op4_simhash,
+    "op6_importance": op6_importance,
     "op9_flac": op9_flac,
     "op10_bpe": op10_bpe,
 }
