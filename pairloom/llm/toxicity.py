@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.frames import kept, map_arrow, texts
 
-EXAMPLES, VOCABULARY, LEAST_G2, NEIGHBOURS, BLOCK, PRIOR = 16_384, 256, 30.0, 25, 128, 1.0
+EXAMPLES, VOCABULARY, LEAST_G2, NEIGHBOURS, BLOCK, PRIOR = 16_384, 256, 20.0, 25, 128, 1.0
 WORD = regex.compile(r"\p{L}+")
 #: Vectors whose answers a worker remembers.
 MEMO = 100_000
