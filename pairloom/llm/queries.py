@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import bpe, flac, importance, simhash, tokens, toxicity, warc
+from pairloom.llm import bpe, flac, importance, simhash, substrings, tokens, toxicity, warc
 from pairloom.llm.frames import table
 
 
@@ -36,6 +36,11 @@ def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated 100-byte strings, digested."""
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as FLAC, read back and digested."""
     return flac.digests(table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op6_importance": op6_importance,
+    "op8_substrings": op8_substrings,
     "op9_flac": op9_flac,
     "op10_bpe": op10_bpe,
 }
