@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import bpe, flac, importance, simhash, substrings, tokens, toxicity, warc
+from pairloom.llm import bpe, contamination, flac, importance, pii, simhash, substrings, tokens, toxicity, warc
 from pairloom.llm.frames import table
 
 
@@ -31,11 +31,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every document: counts, digest and list."""
+    return pii.spans(table(spark, sf_dir, "documents")).drop("digest", "found")
+
+
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The resampled documents: doc_id, log_weight, rank_key."""
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, start, stop, edits of every benchmark passage in a document."""
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated 100-byte strings, digested."""
     return substrings.digests(table(spark, sf_dir, "documents"))
@@ -56,7 +66,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
+    "op5_pii": op5_pii,
     "op6_importance": op6_importance,
+    "op7_contamination": op7_contamination,
     "op8_substrings": op8_substrings,
     "op9_flac": op9_flac,
     "op10_bpe": op10_bpe,
