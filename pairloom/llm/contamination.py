@@ -27,7 +27,9 @@ from pairloom.llm.frames import map_arrow, texts
 Q, BUDGET, ITEMS_BYTES = 8, 0.1, 4 << 20
 #: Bytes of texts worked on together, and pairs of q-grams counted together.
 BUFFER, PAIRS = 1 << 20, 1 << 22
-TABLE_LOG2 = 22
+#: Alignments done in step.
+LANES = 1024
+TABLE_LOG2 = 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FOLD = np.array([32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -59,6 +61,7 @@ class Items:
     texts: list[np.ndarray]
 
     def __post_init__(self) -> None:
+        self.raw = [t.tobytes() for t in self.texts]
         self.size = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.minimum((self.size * BUDGET).astype(np.int64), (self.size - Q) // Q)
         self.bound = self.size - Q + 1 - Q * self.edits
@@ -116,14 +119,19 @@ class Items:
 
     def regions(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, start, stop, edits) of the occurrences within budget, overlapping ones of an item once."""
-        found, most = {}, int(self.size.max())
+        found, raw = {}, x.tobytes()
+        rest = []
         for i, band in self.bands(x).tolist():
             k, m = int(self.edits[i]), int(self.size[i])
-            low = (band - 1) * self.width - most
-            a, b = max(0, low - k), min(len(x), low + 2 * self.width + m + k)
-            got = align(self.texts[i], x[a:b], k)
-            if got:
-                found.setdefault(i, set()).add((got[2], a + got[0], a + got[1]))
+            low = (band - 1) * self.width - int(self.size.max())
+            at = raw.find(self.raw[i], max(0, low - k), max(0, low + 2 * self.width + m + k))
+            if at >= 0:
+                found.setdefault(i, set()).add((0, at, at + m))
+            else:
+                rest.append((i, low - k))
+        for i, stop, d in align(self, x, rest, 2 * self.width + 2 * int(self.edits.max())):
+            back = x[max(0, stop - int(self.size[i]) - int(self.edits[i])) : stop][::-1]
+            found.setdefault(i, set()).add((d, stop - prefix(self.texts[i][::-1], back), stop))
         out = []
         for i, those in sorted(found.items()):
             taken: list[tuple[int, int]] = []
@@ -134,33 +142,47 @@ class Items:
         return out
 
 
-def _ends(pattern: np.ndarray, x: np.ndarray, k: int, free: bool) -> tuple[int, int]:
-    """The end in x, and edits, of the best alignment of the whole pattern; it starts anywhere if free, else at 0."""
-    n = len(x)
-    steps = np.arange(n + 1)
-    row = np.zeros(n + 1, np.int64) if free else steps.copy()
+def prefix(pattern: np.ndarray, x: np.ndarray) -> int:
+    """The length of the prefix of x that the whole pattern aligns to with the fewest edits."""
+    steps = np.arange(len(x) + 1)
+    row = steps
     for i, c in enumerate(pattern.tolist()):
-        new = np.empty(n + 1, np.int64)
-        new[0] = i + 1
-        np.minimum(row[:-1] + (x != c), row[1:] + 1, out=new[1:])
+        new = np.append(i + 1, np.minimum(row[:-1] + (x != c), row[1:] + 1))
         row = np.minimum.accumulate(new - steps) + steps
-        if row.min() > k:
-            return -1, k + 1
-    end = int(row.argmin())
-    return end, int(row[end])
-
-
-def align(pattern: np.ndarray, x: np.ndarray, k: int) -> tuple[int, int, int] | None:
-    """(start, stop, edits) of the pattern in x, whose length bounds the band; None beyond k edits."""
-    at = x.tobytes().find(pattern.tobytes())
-    if at >= 0:
-        return at, at + len(pattern), 0
-    end, edits = _ends(pattern, x, k, True)
-    if edits > k:
-        return None
-    back = x[max(0, end - len(pattern) - k) : end][::-1]
-    start, _ = _ends(pattern[::-1], back, k, False)
-    return end - start, end, edits
+    return int(row.argmin())
+
+
+def align(items: Items, x: np.ndarray, asked: list[tuple[int, int]], band: int) -> Iterator[tuple[int, int, int]]:
+    """(item, stop, edits) of the asked (item, first diagonal) that align within budget on `band` diagonals.
+
+    All are aligned in step, a row of the pattern at a time; those beyond their budget drop out.
+    """
+    for at in range(0, len(asked), LANES):
+        item = np.array([i for i, _ in asked[at : at + LANES]])
+        low = np.array([d for _, d in asked[at : at + LANES]])
+        size, edits, pad = items.size[item], items.edits[item], band + int(items.size.max()) + 1
+        text = np.concatenate([np.full(pad, 255, np.uint8), x, np.full(pad, 255, np.uint8)])
+        steps, row, base = np.arange(band), np.zeros((len(item), band), np.int32), low + pad
+        base = np.clip(base, 0, len(text) - pad)
+        pattern = np.zeros((len(item), int(size.max())), np.uint8)
+        for n, i in enumerate(item.tolist()):
+            pattern[n, : size[n]] = items.texts[i]
+        steps = steps.astype(np.int32)
+        for i in range(pattern.shape[1]):
+            new = row + (text[base[:, None] + (i + steps)] != pattern[:, i : i + 1])
+            np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+            row = np.minimum.accumulate(new - steps, axis=1) + steps
+            best = row.min(1)
+            live = best <= edits
+            for n in np.flatnonzero(live & (size == i + 1)).tolist():
+                stop = int(base[n]) - pad + int(row[n].argmin()) + i + 1
+                if 0 < stop <= len(x):
+                    yield int(item[n]), stop, int(best[n])
+            live &= size > i + 1
+            if not live.all():
+                item, size, edits, base, row, pattern = (v[live] for v in (item, size, edits, base, row, pattern))
+                if not len(item):
+                    break
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Items]:
