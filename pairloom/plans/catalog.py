@@ -1,6 +1,8 @@
-"""The catalogue of registered queries and their SQL."""
+"""All registered queries of the library itself."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pairloom.plans import pairing, reporting  # noqa: F401  they register themselves
+from pairloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
