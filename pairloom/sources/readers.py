@@ -32,7 +32,7 @@ def read_sources(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, problem_id, lang, submission_id, ext, text) of data/{problem}/{lang}/{submission}.{ext}; bad bytes are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     part = lambda n: F.regexp_extract("path", r"([^/]+)/([^/]+)/([^/]+?)\.([^./]+)$", n)
-    return files.select("path", part(1).alias("problem_id"), part(2).alias("lang"), part(3).alias("submission_id"), part(4).alias("ext"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select("path", part(1).alias("problem_id"), part(2).alias("lang"), part(3).alias("submission_id"), part(4).alias("ext"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
