@@ -253,7 +253,7 @@ def decode_frames(rows: np.ndarray, length: np.ndarray, block: int) -> np.ndarra
     for j in range(most):
         y[j] = np.where(j < order, signed(read(pos, 8), 8), 0)
         pos = np.where(j < order, pos + 8, pos)
-    coefs, shift, linear = np.zeros((max(most, 1), len(some)), np.int64), np.zeros(len(some), np.int64), kind[some] >= 32
+    coefs, shift, linear = np.zeros((max(most, 4), len(some)), np.int64), np.zeros(len(some), np.int64), kind[some] >= 32
     for o, fixed in FIXED.items():
         for j, c in enumerate(fixed):
             coefs[j, ~linear & (order == o)] = c

@@ -160,4 +160,6 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr((acc["at"] + 1).cast("int"), F.length(text)))
     new = F.when(F.col(f).isNull(), F.col("text")).otherwise(F.aggregate(f, start, step, rest))
-    return joined.select(*(new.alias("text") if c == "text" else F.when(F.col(f).isNull(), F.col(c)).otherwise(F.length(new)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes))
+    n = own("new")  # under a name of its own: within a lambda, "text" would mean the new column beside it
+    made = joined.withColumn(n, new)
+    return made.select(*(F.col(n).alias("text") if c == "text" else F.when(F.col(f).isNull(), F.col(c)).otherwise(F.length(n)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes))
