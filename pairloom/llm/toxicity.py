@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.frames import kept, map_arrow, texts
 
-EXAMPLES, VOCABULARY, LEAST_G2, NEIGHBOURS, BLOCK, PRIOR = 16_384, 256, 20.0, 25, 128, 1.0
+EXAMPLES, VOCABULARY, LEAST_G2, NEIGHBOURS, BLOCK, PRIOR = 16_384, 256, 25.0, 25, 128, 1.0
 WORD = regex.compile(r"\p{L}+")
 #: Vectors whose answers a worker remembers.
 MEMO = 100_000
@@ -194,10 +194,18 @@ def logit(p: np.ndarray | float) -> np.ndarray:
 
 def build(spark_vectors: DataFrame, examples: DataFrame, size: int) -> Index:
     """The index over examples (doc_id, toxic), with document frequencies over all of spark_vectors."""
-    n = spark_vectors.count()
-    df = np.zeros(size)
-    for r in spark_vectors.select(F.explode("ords").alias("t")).groupBy("t").count().collect():  # VOCABULARY rows
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(size + 1, np.int64)
+        for b in batches:
+            df[size] += b.num_rows
+            df[:size] += np.bincount(b.column("ords").flatten().to_numpy(zero_copy_only=False).astype(np.int64), minlength=size)[:size]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(df)], ["t", "n"])
+
+    df = np.zeros(size + 1)
+    for r in map_arrow(spark_vectors.select("ords"), seen, "t int, n long").groupBy("t").agg(F.sum("n")).collect():  # VOCABULARY rows
         df[r[0]] = r[1]
+    n, df = df[size], df[:size]
     idf = np.log((1 + n) / (1 + df)) + 1
     told = spark_vectors.join(F.broadcast(examples), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # EXAMPLES rows
     index = Index(idf, np.array([r.doc_id for r in told], np.int64), np.array([r.toxic for r in told], float), [weigh(idf, r.ords, r.tf) for r in told])
