@@ -58,7 +58,10 @@ def normalize(code: Column, comments: bool = True) -> Column:
 
 def shingles(text: Column, k: int = 5) -> Column:
     """The distinct substrings of k characters; fewer characters, none."""
-    return F.when(F.length(text) < k, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))))
+    # the array of one is a binding: within a lambda an expression would be evaluated anew for each element
+    windows = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - (k - 1)), lambda i: F.array_join(F.slice(c, i, k), ""))
+    made = F.transform(F.array(F.split(text, "")), lambda c: F.when(F.size(c) < k, F.array().cast("array<string>")).otherwise(windows(c)))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.get(made, F.lit(0))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

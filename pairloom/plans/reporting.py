@@ -36,7 +36,7 @@ def f4(t: Tables) -> DataFrame:
 SHINGLED = f"""n AS (SELECT doc_id, {normal_sql("text")} AS s FROM documents)"""
 
 
-@query("f5_shingles", f"WITH {SHINGLED} SELECT doc_id, CASE WHEN length(s) < 5 THEN 0 ELSE len(list_distinct(list_transform(range(1, length(s) - 3), lambda i: substr(s, i, 5)))) END AS n FROM n WHERE length(s) <= 20000 UNION ALL SELECT doc_id, (SELECT count(DISTINCT substr(s, i.range, 5)) FROM range(1, length(s) - 3) i) FROM n WHERE length(s) > 20000")
+@query("f5_shingles", f"WITH {SHINGLED}, c AS (SELECT doc_id, string_split(s, '') AS c FROM n) SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(len(c) - 3, 1)), lambda i: c[i] || c[i+1] || c[i+2] || c[i+3] || c[i+4]))) AS n FROM c")
 def f5(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(text.shingles(text.normalize(C("text")))).alias("n"))
 
@@ -47,7 +47,7 @@ def _normal(t: Tables) -> DataFrame:
 
 @query(
     "f6_minhash",
-    f"""WITH {SHINGLED}, g AS (SELECT DISTINCT doc_id, substr(s, i, 5) AS g FROM (SELECT doc_id, s, unnest(range(1, greatest(length(s) - 3, 1))) AS i FROM n)),
+    f"""WITH {SHINGLED}, c AS (SELECT doc_id, string_split(s, '') AS c FROM n), g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(c) - 3, 1)), lambda i: c[i] || c[i+1] || c[i+2] || c[i+3] || c[i+4]))) AS g FROM c),
 h AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 8))::BIGINT % 2147483647 AS h FROM g),
 p AS (SELECT range AS i, ('0x' || substr(md5('a:' || range), 1, 8))::BIGINT % 2147483646 + 1 AS a, ('0x' || substr(md5('b:' || range), 1, 8))::BIGINT % 2147483647 AS b FROM range(8)),
 m AS (SELECT doc_id, i, min((h * a + b) % 2147483647) AS v FROM h, p GROUP BY ALL)
