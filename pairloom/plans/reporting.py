@@ -61,27 +61,43 @@ def _signed(t: Tables) -> DataFrame:
     return dedup.minhash(_normal(t), "doc_id", "s")
 
 
+def _sides(t: Tables) -> DataFrame:
+    """Documents with the side they are on: even ids are test, odd ids train."""
+    return _normal(t).select("doc_id", "s", F.md5("s").alias("digest"), F.when(C("doc_id") % 2 == 0, "test").otherwise("train").alias("side"))
+
+
 def _distinct_texts(t: Tables) -> DataFrame:
-    """One document of each normalized text; copies need no pairs of their own."""
-    return _normal(t).groupBy(F.md5("s").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.first("s").alias("s"))
+    """One document of each normalized text on each side, its smallest; copies on one side need no pairs of their own."""
+    return _sides(t).groupBy("digest", "side").agg(F.min("doc_id").alias("doc_id"), F.first("s").alias("s"))
 
 
-def _candidates(t: Tables) -> DataFrame:
-    bands = dedup.banded(dedup.minhash(_distinct_texts(t), "doc_id", "s"), "doc_id")
+def _candidates(docs: DataFrame) -> DataFrame:
+    bands = dedup.banded(dedup.minhash(docs, "doc_id", "s"), "doc_id")
     left, right = bands.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "test_id"), bands.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "train_id")
     return dedup.candidates(left, right, "test_id", "train_id")
 
 
 @query("j7_lsh_candidates")
 def j7(t: Tables) -> DataFrame:
-    return _candidates(t)
+    """Pairs of texts across the sides, each named by its smallest document there; j7_membership names the others."""
+    return _candidates(_distinct_texts(t))
+
+
+@query("j7_membership", f"WITH {SHINGLED} SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'test' ELSE 'train' END AS side, min(doc_id) OVER (PARTITION BY md5(s), doc_id % 2) AS first_id FROM n")
+def j7_membership(t: Tables) -> DataFrame:
+    """Every document with the smallest one of its text on its side."""
+    docs = _sides(t).drop("s")
+    return docs.join(docs.groupBy("digest", "side").agg(F.min("doc_id").alias("first_id")), ["digest", "side"]).select("doc_id", "side", "first_id")
 
 
 @query("j8_contaminated")
 def j8(t: Tables) -> DataFrame:
+    """Every contaminated test document, copies included; best is the smallest train document of the most similar text."""
     docs = _distinct_texts(t)
-    sides = [docs.select(C("doc_id").alias(n), "s") for n in ("test_id", "train_id")]
-    return dedup.contaminated(dedup.verified(_candidates(t), *sides, "test_id", "train_id", "s"), "test_id", "train_id")
+    sides = [docs.where(C("side") == n).select(C("doc_id").alias(f"{n}_id"), "s") for n in ("test", "train")]
+    found = dedup.contaminated(dedup.verified(_candidates(docs), *sides, "test_id", "train_id", "s"), "test_id", "train_id")
+    members = j7_membership(t).where("side = 'test'").select(C("doc_id").alias("member"), C("first_id").alias("test_id"))
+    return members.join(found, "test_id").select(C("member").alias("test_id"), "similarity", "best")
 
 
 @query("j8_exact_copies", f"WITH {SHINGLED} SELECT md5(s) AS digest, count(*) AS n, min(doc_id) AS first_id FROM n GROUP BY ALL HAVING count(*) > 1")
