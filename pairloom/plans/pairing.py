@@ -231,6 +231,27 @@ def j11(t: Tables) -> DataFrame:
     return pairs.ordered_negatives(lines_of(t, "en", "l"), lines_of(t, "fr", "r"), 12, 100).select("l", "r")
 
 
+ALIGNED = f"{LINED}, n AS (SELECT count(*) AS n FROM e JOIN f USING (i))"
+
+
+def aligned(t: Tables) -> int:
+    """How many rows the two sides have in common."""
+    return pairs.by_position(lines_of(t, "en", "l"), lines_of(t, "fr", "r")).count()
+
+
+@query("j10_offset_negatives_whole", f"WITH {ALIGNED} SELECT e.doc_id AS l, f.doc_id AS r FROM (SELECT e.*, n, (e.i + n // 3) % n AS j FROM e, n WHERE e.i < n) e JOIN f ON f.i = CASE WHEN e.j = e.i THEN (e.i + 1) % n ELSE e.j END")
+def j10_whole(t: Tables) -> DataFrame:
+    """j10 over all aligned rows."""
+    n = aligned(t)
+    return pairs.offset_negatives(lines_of(t, "en", "l").where(F.col("line_no") < n), lines_of(t, "fr", "r"), max(n, 1)).select("l", "r")
+
+
+@query("j11_ordered_negatives_whole", f"WITH {ALIGNED} SELECT e.doc_id AS l, f.doc_id AS r FROM e JOIN f ON e.i <> f.i, n WHERE e.i < n AND f.i < n ORDER BY e.i, f.i LIMIT 1000")
+def j11_whole(t: Tables) -> DataFrame:
+    """j11 over all aligned rows; only the pairs are limited, as in the reference."""
+    return pairs.ordered_negatives(lines_of(t, "en", "l"), lines_of(t, "fr", "r"), aligned(t), 1000).select("l", "r")
+
+
 @query(
     "j12_cross_problem",
     f"""WITH o AS (SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {rank_sql("x", "doc_id")}, doc_id) AS r FROM documents) WHERE r = 1),

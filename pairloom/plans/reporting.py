@@ -57,6 +57,12 @@ def f6(t: Tables) -> DataFrame:
     return dedup.minhash(_normal(t), "doc_id", "s", 8).select("doc_id", F.posexplode("signature").alias("place", "value"))
 
 
+@query("f6_minhash_128")
+def f6_128(t: Tables) -> DataFrame:
+    """f6 with all permutations; its SQL would make 128 rows of each shingle, so a test holds it against brute force."""
+    return dedup.minhash(_normal(t), "doc_id", "s").select("doc_id", F.posexplode("signature").alias("place", "value"))
+
+
 def _signed(t: Tables) -> DataFrame:
     return dedup.minhash(_normal(t), "doc_id", "s")
 
@@ -255,6 +261,14 @@ def f28(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(text.strip_numbering(line)).alias("digest"))
 
 
+@query("f28_numbering_whole", r"SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '```(cpp|c\+\+|c\b)?', '')), chr(10))) AS digest FROM documents")
+def f28_whole(t: Tables) -> DataFrame:
+    """f28 over every line of the text."""
+    number = F.concat((C("doc_id") % 10 + 1).cast("string"), F.lit(")"))
+    stripped = F.transform(F.split("text", "\n", -1), lambda line: text.strip_numbering(F.concat(number, line)))
+    return t.documents.select("doc_id", F.md5(F.array_join(stripped, "\n")).alias("digest"))
+
+
 @query("f29_fragments", "SELECT item_id, md5(text) AS first, md5('tail') AS second FROM benchmark")
 def f29(t: Tables) -> DataFrame:
     cut = text.split_fragments(F.concat(F.regexp_replace("text", "\n+", "\n"), F.lit("\n\ntail")))
