@@ -1,16 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are a bounded sample of training labels (EXAMPLES, by hash order). The vocabulary is the VOCABULARY
-terms whose presence tells the two classes apart most by the likelihood-ratio statistic G2, above LEAST_G2.
-Document frequencies are counted over all documents. Each example's vector is indexed by term; postings are
-cut into blocks of BLOCK examples with each term's largest weight per block. A search visits blocks by
-falling upper bound and stops when none can reach the k-th best, so it is exact; examples that tie with the
-k-th all vote. Votes are weighted by similarity, and a logistic fit of leave-one-out votes makes them scores.
-
-A text with none of the terms is the zero vector, whose neighbours are the examples that are zero too. Null
-and empty texts are such. Repeated rows are scored alike. Labels that are null, repeated or of other values
-are passed over (of repeated ones the larger holds). Without examples of both classes the score is the
-known share, or 0. Extra columns are ignored.
+Examples are a bounded sample of training labels (EXAMPLES, by hash order). A term's weight is its logarithmic
+frequency times its inverse document frequency, counted over all documents, times the root of the likelihood
+ratio G2 of its presence among toxic and other examples. Every term of every example counts; a term that no
+example has tells nothing, its G2 is 0, and so is its weight, by the rule itself. Terms are known by a hash of
+64 bits.
+
+The index keeps, by term, its examples and weights. Terms that few examples have are summed first; those that
+many have (more than one in DENSE) lie in rows over all examples with their largest weight in each block of
+BLOCK. A search visits blocks by falling upper bound (best sum so far in the block, plus what the frequent
+terms can add there) and stops when none can reach the k-th best, so it is exact; examples that tie with the
+k-th all vote. Votes are weighted by similarity; a logistic fit of leave-one-out votes makes them scores.
+
+A text with no term of an example is the zero vector, whose neighbours are the examples that are zero too;
+null and empty texts are such. Long texts are scored whole. Repeated rows are scored alike. Labels that are
+null, repeated or of other values are passed over (of repeated ones the larger holds). Without examples of both
+classes the score is the known share, or 0. An empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,19 +27,24 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.frames import kept, map_arrow, texts
 
-EXAMPLES, VOCABULARY, LEAST_G2, NEIGHBOURS, BLOCK, PRIOR = 16_384, 256, 25.0, 25, 128, 1.0
+EXAMPLES, NEIGHBOURS, BLOCK, DENSE, PRIOR = 4096, 25, 64, 16, 1.0
 WORD = regex.compile(r"\p{L}+")
-#: Vectors whose answers a worker remembers.
-MEMO = 100_000
+#: Texts whose answers a worker remembers, by digest.
+MEMO = 20_000
 
 
-def terms(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's terms, sorted, and how often each occurs."""
+    found = Counter(WORD.findall(text.lower()))
+    keys = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in found), np.uint64, len(found)).view(np.int64)
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(found.values(), np.int64, len(found))[order]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -47,104 +57,101 @@ def training(labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
 
 
-def vocabulary(docs: DataFrame, examples: DataFrame, most: int = VOCABULARY) -> list[str]:
-    """The terms that tell the classes apart most."""
-    told = texts(docs).join(F.broadcast(examples), "doc_id")  # EXAMPLES rows
+def places(vocabulary: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are in the sorted vocabulary, and where those are."""
+    if not len(vocabulary):
+        return np.zeros(len(keys), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, keys), len(vocabulary) - 1)
+    there = vocabulary[at] == keys
+    return there, at[there]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = Counter(), Counter()
-        rows = [0, 0]
-        for b in batches:
-            for t, y in zip(b.column("text"), b.column("toxic").to_pylist()):
-                seen[y].update(set(terms(t.as_py())))
-                rows[y] += 1
-        words = [*(seen[0].keys() | seen[1].keys()), None]
-        for at in range(0, len(words), 1 << 16):
-            some = words[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([rows[y] if w is None else seen[y][w] for w in some], pa.int64()) for y in (0, 1))], ["term", "n0", "n1"])
-
-    counted = kept(map_arrow(told, run, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "terms")
-    total = counted.where("term is null").first()
-    if not total or not total.n0 or not total.n1:
-        return []
-    n0, n1 = float(total.n0), float(total.n1)
-    a, b = F.col("n1"), F.col("n0")
-    cell = lambda seen, want: F.when(seen > 0, seen * F.log(seen / want)).otherwise(0.0)
-    share = (a + b) / (n0 + n1)
-    g2 = 2 * (cell(a, n1 * share) + cell(b, n0 * share) + cell(n1 - a, n1 * (1 - share)) + cell(n0 - b, n0 * (1 - share)))
-    best = counted.where("term is not null").withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
-    return [r.term for r in best.orderBy(F.desc("g2"), "term").limit(most).collect()]
-
-
-def vectors(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, ords array<int>, tf array<int>): each text's terms of the vocabulary."""
-    place = {w: i for i, w in enumerate(words)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [sorted(Counter(place[w] for w in terms(t.as_py()) if w in place).items()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1))], ["doc_id", "ords", "tf"])
 
-    return map_arrow(texts(docs), run, "doc_id long, ords array<int>, tf array<int>")
+def relevance(toxic: np.ndarray, terms: list[np.ndarray], size: int) -> np.ndarray:
+    """The root of each term's G2: how unlike its shares among toxic and other examples are."""
+    seen = np.stack([np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, y in zip(terms, toxic) if y == c)]), minlength=size) for c in (1, 0)]).astype(float)
+    rows = np.array([[toxic.sum()], [len(toxic) - toxic.sum()]])
+    share = seen.sum(0) / max(len(toxic), 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cell = lambda n, want: np.where(n > 0, n * np.log(n / want), 0.0)
+        g2 = 2 * (cell(seen, rows * share) + cell(rows - seen, rows * (1 - share))).sum(0)
+    return np.sqrt(np.maximum(g2, 0))
 
 
 @dataclass
 class Index:
     """Examples by term and block; calibration by two numbers."""
 
-    idf: np.ndarray
+    vocabulary: np.ndarray
+    weight: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     rows: list[tuple[np.ndarray, np.ndarray]]
     neighbours: int = NEIGHBOURS
     slope: float = 1.0
     shift: float = 0.0
-    bounds: np.ndarray = field(init=False)
+    prior: float = field(init=False)
 
     def __post_init__(self) -> None:
-        order = sorted(range(len(self.rows)), key=lambda i: (self.rows[i][0].tolist(), self.rows[i][1].tolist(), int(self.ids[i])))
+        n, size = len(self.ids), len(self.vocabulary)
+        heaviest = [int(o[w.argmax()]) if len(o) else -1 for o, w in self.rows]
+        order = np.lexsort((self.ids, heaviest))  # examples of one telling term share blocks
         self.ids, self.toxic, self.rows = self.ids[order], self.toxic[order], [self.rows[i] for i in order]
-        blocks = max(1, -(-len(order) // BLOCK))
-        self.prior = float(self.toxic.mean()) if len(order) else 0.0
+        self.prior = float(self.toxic.mean()) if n else 0.0
         self.zero = np.array([i for i, r in enumerate(self.rows) if not len(r[0])], np.int64)
-        self.bounds = np.zeros((len(self.idf), blocks))
-        posts: list[list] = [[] for _ in self.idf]
-        for i, (o, w) in enumerate(self.rows):
-            for t, x in zip(o.tolist(), w.tolist()):
-                posts[t].append((i, x))
-                self.bounds[t, i // BLOCK] = max(self.bounds[t, i // BLOCK], x)
-        self.post = [(np.array([p[0] for p in x], np.int64), np.array([p[1] for p in x])) for x in posts]
-        self.cuts = [np.searchsorted(p[0], np.arange(blocks + 1) * BLOCK) for p in self.post]
-
-    def vector(self, ords: list[int], tf: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return weigh(self.idf, ords, tf)
+        blocks = max(1, -(-n // BLOCK))
+        term = np.concatenate([np.zeros(0, np.int64), *(r[0] for r in self.rows)])
+        who = np.repeat(np.arange(n), [len(r[0]) for r in self.rows])
+        said = np.concatenate([np.zeros(0), *(r[1] for r in self.rows)])
+        by = np.argsort(term, kind="stable")
+        term, self.who, self.said = term[by], who[by].astype(np.int32), said[by]
+        many = np.bincount(term, minlength=size)
+        self.first = np.concatenate([[0], np.cumsum(many)])
+        frequent = np.flatnonzero(many * DENSE > n)
+        self.row = np.full(size, -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), blocks, BLOCK))
+        for k, t in enumerate(frequent.tolist()):
+            a, z = self.first[t], self.first[t + 1]
+            self.dense[k].ravel()[self.who[a:z]] = self.said[a:z]
+        self.bounds = self.dense.max(2)
+
+    def vector(self, keys: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of counted terms."""
+        there, at = places(self.vocabulary, keys)
+        return weigh(self.weight, at, tf[there])
 
     def search(self, ords: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest and all that tie with the k-th."""
         if not len(ords):
             near = self.zero[self.zero != skip]
             return near, np.ones(len(near))
-        upper = w @ self.bounds[ords]
-        places, scores, kth = [], [], 0.0
-        for b in np.argsort(-upper, kind="stable").tolist():
-            if upper[b] <= 0 or upper[b] < kth - 1e-9:
+        row = self.row[ords]
+        often = row >= 0
+        a, z = self.first[ords[~often]], self.first[ords[~often] + 1]
+        n = z - a
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        held = np.bincount(self.who[at], np.repeat(w[~often], n) * self.said[at], minlength=self.bounds.shape[1] * BLOCK)
+        blocks, heavy, row = held.reshape(-1, BLOCK), w[often], row[often]
+        upper = blocks.max(1) + np.einsum("i,ij->j", heavy, self.bounds[row])
+        found, scores, kth, order, done, step = [], [], 0.0, np.argsort(-upper, kind="stable"), 0, 1
+        while done < len(order):
+            some = order[done : done + step]
+            some = some[(upper[some] > 0) & (upper[some] >= kth - 1e-9)]
+            if not len(some):
                 break
-            held = np.zeros(BLOCK)
-            for t, x in zip(ords.tolist(), w.tolist()):
-                a, z = self.cuts[t][b], self.cuts[t][b + 1]
-                held[self.post[t][0][a:z] - b * BLOCK] += x * self.post[t][1][a:z]
-            if 0 <= skip - b * BLOCK < BLOCK:
-                held[skip - b * BLOCK] = 0
-            there = np.flatnonzero(held > max(kth - 1e-9, 0))
-            places.append(there + b * BLOCK)
-            scores.append(held[there].round(9))
+            sums = blocks[some] + np.einsum("i,ijk->jk", heavy, self.dense[row[:, None], some])
+            place = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            there = (sums.ravel() > max(kth - 1e-9, 0)) & (place != skip)
+            found.append(place[there])
+            scores.append(sums.ravel()[there].round(9))
             best = np.concatenate(scores)
             if len(best) >= self.neighbours:
                 kth = float(np.partition(best, -self.neighbours)[-self.neighbours])
-        if not places:
+            done, step = done + step, step * 2
+        if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        place, score = np.concatenate(places), np.concatenate(scores)
-        stay = score >= kth
+        place, score = np.concatenate(found), np.concatenate(scores)
+        stay = (score >= kth) & (score > 0)
         return place[stay], score[stay]
 
     def vote(self, near: np.ndarray, score: np.ndarray) -> float:
@@ -154,19 +161,12 @@ class Index:
         """Platt's two numbers from leave-one-out votes of the examples."""
         if not 0 < self.prior < 1:
             return
-        memo: dict = {}
-        for i, (o, w) in enumerate(self.rows):
-            y = int(self.toxic[i])
-            at = (o.tobytes(), w.tobytes(), y)
-            if at not in memo:
-                memo[at] = [self.vote(*self.search(o, w, skip=i)), 0]
-            memo[at][1] += 1
-        v, n, y = np.array([x[0] for x in memo.values()]), np.array([x[1] for x in memo.values()], float), np.array([k[2] for k in memo], float)
-        x, ab = logit(v), np.array([1.0, 0.0])
+        x = logit(np.array([self.vote(*self.search(o, w, skip=i)) for i, (o, w) in enumerate(self.rows)]))
+        y, ab = self.toxic, np.array([1.0, 0.0])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(ab[0] * x + ab[1], -30, 30)))
-            grad = np.array([(n * (p - y) * x).sum() + 0.01 * (ab[0] - 1), (n * (p - y)).sum() + 0.01 * ab[1]])
-            r = n * p * (1 - p)
+            grad = np.array([((p - y) * x).sum() + 0.01 * (ab[0] - 1), (p - y).sum() + 0.01 * ab[1]])
+            r = p * (1 - p)
             hess = np.array([[(r * x * x).sum() + 0.01, (r * x).sum()], [(r * x).sum(), r.sum() + 0.01]])
             step = np.linalg.solve(hess, grad)
             ab -= np.clip(step, -1, 1)
@@ -180,11 +180,11 @@ class Index:
         return float(1 / (1 + np.exp(-np.clip(self.slope * logit(vote) + self.shift, -30, 30))))
 
 
-def weigh(idf: np.ndarray, ords: list[int], tf: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The TF-IDF vector of unit length."""
-    o = np.array(ords, np.int64)
-    w = (1 + np.log(np.maximum(np.array(tf, float), 1))) * idf[o]
-    return o, w / np.sqrt((w * w).sum()) if len(o) else w
+def weigh(weight: np.ndarray, ords: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vector of unit length; terms without weight are not in it."""
+    w = (1 + np.log(np.maximum(tf, 1))) * weight[ords]
+    ords, w = ords[w > 0], w[w > 0]
+    return ords, w / np.sqrt((w * w).sum()) if len(w) else w
 
 
 def logit(p: np.ndarray | float) -> np.ndarray:
@@ -192,49 +192,64 @@ def logit(p: np.ndarray | float) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def build(spark_vectors: DataFrame, examples: DataFrame, size: int) -> Index:
-    """The index over examples (doc_id, toxic), with document frequencies over all of spark_vectors."""
+def build(docs: DataFrame, examples: DataFrame) -> Index:
+    """The index over examples (doc_id, toxic), with document frequencies over all docs."""
+
+    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, y, t in zip(b.column("doc_id"), b.column("toxic"), b.column("text")):
+                keys, tf = counted(t.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), pa.array([keys], pa.list_(pa.int64())), pa.array([tf], pa.list_(pa.int64()))], ["doc_id", "toxic", "keys", "tf"])
+
+    told = texts(docs).join(F.broadcast(examples), "doc_id")  # EXAMPLES rows
+    told = map_arrow(told, terms_of, "doc_id long, toxic int, keys array<long>, tf array<long>").dropDuplicates(["doc_id"])
+    got = told.orderBy("doc_id").toArrow()  # the terms of EXAMPLES texts
+    list_of = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in got.column(c)]
+    keys, tf = list_of("keys"), list_of("tf")
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]))
+    shared, size = docs.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(size + 1, np.int64)
         for b in batches:
             df[size] += b.num_rows
-            df[:size] += np.bincount(b.column("ords").flatten().to_numpy(zero_copy_only=False).astype(np.int64), minlength=size)[:size]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(df)], ["t", "n"])
+            for t in b.column("text"):
+                df[places(shared.value, counted(t.as_py())[0])[1]] += 1
+        there = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(df[there])], ["t", "n"])
 
     df = np.zeros(size + 1)
-    for r in map_arrow(spark_vectors.select("ords"), seen, "t int, n long").groupBy("t").agg(F.sum("n")).collect():  # VOCABULARY rows
-        df[r[0]] = r[1]
+    for b in map_arrow(texts(docs).select("text"), seen, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow().to_batches():  # a row for each term of the examples
+        df[b.column("t").to_numpy()] = b.column("n").to_numpy()
     n, df = df[size], df[:size]
-    idf = np.log((1 + n) / (1 + df)) + 1
-    told = spark_vectors.join(F.broadcast(examples), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # EXAMPLES rows
-    index = Index(idf, np.array([r.doc_id for r in told], np.int64), np.array([r.toxic for r in told], float), [weigh(idf, r.ords, r.tf) for r in told])
+    ids, toxic = (np.array(got.column(c).to_pylist(), kind) for c, kind in (("doc_id", np.int64), ("toxic", float)))
+    ords = [places(vocabulary, k)[1] for k in keys]
+    weight = (np.log((1 + n) / (1 + df)) + 1) * relevance(toxic, ords, size)
+    index = Index(vocabulary, weight, ids, toxic, [weigh(weight, o, f) for o, f in zip(ords, tf)])
     index.calibrate()
     return index
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence): evidence holds up to NEIGHBOURS nearest examples' ids."""
-    examples = kept(training(labels), "examples")
-    words = vocabulary(docs, examples)
-    found = kept(vectors(docs, words), "vectors")
-    shared = docs.sparkSession.sparkContext.broadcast(build(found, examples, len(words)))  # EXAMPLES x VOCABULARY at most
+    shared = docs.sparkSession.sparkContext.broadcast(build(docs, kept(training(labels), "examples")))  # the terms of EXAMPLES texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, memo = shared.value, {}
         for b in batches:
             out = []
-            for o, tf in zip(b.column("ords").to_pylist(), b.column("tf").to_pylist()):
-                at = (*o, -1, *tf)
+            for t in b.column("text"):
+                said = t.as_py()
+                at = xxhash.xxh3_128_digest(said.encode("utf-8", "surrogatepass"))
                 if at not in memo:
                     if len(memo) >= MEMO:
                         memo.clear()
-                    near, sim = index.search(*index.vector(o, tf))
+                    near, sim = index.search(*index.vector(*counted(said)))
                     first = near[np.lexsort((index.ids[near], -sim))][: index.neighbours]
                     memo[at] = index.score(index.vote(near, sim)), index.ids[first].tolist()
                 out.append(memo[at])
             s = [x[0] for x in out]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], ["doc_id", "score", "predicted", "evidence"])
 
-    got = map_arrow(found, run, "doc_id long, score double, predicted int, evidence array<long>")
+    got = map_arrow(texts(docs), run, "doc_id long, score double, predicted int, evidence array<long>")
     return got.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
