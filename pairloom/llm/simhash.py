@@ -6,8 +6,10 @@ close pair. Only distinct fingerprints are joined: exact copies meet in a group-
 shared by more than HOT distinct fingerprints is cut into tiles of bounded size, each of which returns a
 spanning forest of its links rather than its pairs; connectivity, and so the components, are the same.
 
-Null and empty texts have fingerprint zero and link like any other. Repeated rows share one component.
-Extra columns are ignored. An empty table gives an empty table.
+Null and empty texts have fingerprint zero and link like any other; long texts are hashed whole, in pieces.
+Repeated rows share one component. Ties need no rule: links are symmetric, and a component is named by its
+smallest doc_id (null only where all of its rows lack one). Extra columns are ignored. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm import neartexts
 from pairloom.llm.components import components
 from pairloom.llm.frames import kept, map_arrow, texts
 
@@ -126,16 +129,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     component_id is the smallest doc_id that can be reached, the document itself included.
     """
     found = kept(fingerprints(docs, words), "fingerprints")
-    reps = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = kept(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     stars = components(links(reps, distance, blocks))
-    roots = reps.join(stars, reps["rep"] == stars["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    roots = kept(reps.join(stars, reps["rep"] == stars["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "roots")
+    # both sides are plain scans, so that a fingerprint of many copies is split by the skew-join rule
     return found.join(roots, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, **how: int) -> DataFrame:
-    """docs with one document of each component, its smallest doc_id; rows without a doc_id stay out.
+def deduplicated(docs: DataFrame, per_cent: int = neartexts.PER_CENT) -> DataFrame:
+    """docs with one document of each group of near copies: five-word shingles, a similarity of per_cent or more.
 
-    Of rows that repeat a doc_id all stay or go together.
+    A similarity of 0.8 is beyond blocks of 64 bits (such pairs differ in ten bits on average), so this form
+    of the operator cuts wider fingerprints into blocks and verifies whole sets; see neartexts.
     """
-    first = near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    return neartexts.deduplicated(docs, per_cent)

@@ -9,11 +9,11 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from brute import brute_near
 from helpers import prose
 from test_contamination import least_edits
 from test_importance import brute_grams
 from test_pii import RULES, fine
-from test_simhash import brute_components, brute_fingerprint
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -56,8 +56,7 @@ def brute(texts):
     model = importance.Model(ratio, min(1.0, 0.8 + 2 * (0.8 * 0.2 / 240) ** 0.5))
     keys = {i: model.key(i, float(ratio[g].sum()) / len(g) * min(len(g), importance.SPAN)) for i, g in grams.items()}
     left = sorted(keys, key=keys.get, reverse=True)[: int(np.ceil(240 * model.share))]
-    roots = brute_components({i: brute_fingerprint(texts[i]) for i in sorted(left)})
-    left = [i for i, root in roots.items() if i == root]
+    left = brute_near({i: texts[i] for i in sorted(left)})
     items = [contamination.folded(prose(5000 + i, 30))[0] for i in range(3)]
     left = [i for i in left if all(least_edits(p, contamination.folded(texts[i])[0]) > int(len(p) * contamination.BUDGET) for p in items)]
     library, out = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
