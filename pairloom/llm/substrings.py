@@ -6,16 +6,20 @@ grams with the smallest hash, so equal windows have equal anchors. Consecutive w
 span; a text of n bytes has about n/35 spans. Then:
 
 1. spans travel as (anchor hash, span hash, place). Within each input segment a span that repeats is settled
-   at once, so a copied span travels once per segment however many copies there are;
-2. sorted by anchor, a span that repeats as a whole is settled; spans that only share an anchor are kept;
+   at once, so a copied span travels once per segment however many copies there are; dealt by both hashes, the
+   first place of each span goes on and later ones are removed;
+2. anchors with more than one span are counted, partly before the shuffle, and joined to their spans;
 3. the bytes of those spans, fetched once, form shards by anchor. Each shard's suffix array is built by
    induced sorting, and permuted common prefixes give the runs of suffixes that share WINDOW bytes; in each
    run the earliest place stays. An anchor with more than HOT different spans is keyed by whole windows
-   instead and settled as in 2, so no shard grows with one passage;
+   instead and settled as in 1, so no shard grows with one passage;
 4. the removed ranges meet their texts once more, and the rest is digested.
 
-Null and empty texts, and those shorter than a window, lose nothing. Rows without a doc_id are left whole.
-Rows that repeat a doc_id and text are one document that is returned as often. Extra columns are ignored.
+Null and empty texts, and those shorter than a window, lose nothing; long texts are worked off CHUNK windows at a
+time. Rows without a doc_id are left whole. Rows that repeat a doc_id and text are one document that is returned as
+often; texts that share a doc_id are documents of their own, in the order of a hash (places carry MARK bits of it).
+Of equal strings the earliest place stays, so there are no ties. An empty table gives an empty table. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,13 +106,19 @@ def spans(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         yield h[place[start]].view(np.int64), range_hashes(h, start, end).view(np.int64), start + at, end + at
 
 
-#: What travels between the steps: R is a removed range, C a span that shares its anchor, S a span still open,
-#: T a span with its bytes.
-R, C, S, T = range(4)
+#: Places hold, above the offset, bits of a hash of the text, so that texts of one doc_id are told apart.
+MARK, OFFSET = (1 << 22) - 1, 40
+#: What travels between the steps: R is a removed range, S a span still open, T a span with its bytes.
+R, S, T = range(3)
 MOVED = "kind int, g long, s long, doc_id long, a long, b long"
 NAMES = ["kind", "g", "s", "doc_id", "a", "b"]
 
 
+def marked(raw: bytes) -> int:
+    """What is added to the places of a text."""
+    return (xxhash.xxh64_intdigest(raw) & MARK) << OFFSET
+
+
 def _batch(kind: int, g: np.ndarray, s: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), kind, np.int32)), *(pa.array(np.ascontiguousarray(x, np.int64)) for x in (g, s, doc, a, b))], NAMES)
 
@@ -139,8 +150,10 @@ def _open_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for batch in batches:
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            for g, s, a, b in spans(t.as_py().encode("utf-8", "surrogatepass")) if i is not None else ():
-                held.append((g, s, np.full(len(g), i, np.int64), a, b))
+            raw = t.as_py().encode("utf-8", "surrogatepass") if i is not None else b""
+            mark = marked(raw)
+            for g, s, a, b in spans(raw):
+                held.append((g, s, np.full(len(g), i, np.int64), a + mark, b + mark))
                 size += len(g)
                 if size >= SEGMENT:
                     yield from _settle(held)
@@ -149,46 +162,32 @@ def _open_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _settle(held)
 
 
-def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Open spans sorted by (g, s, doc_id, a): whole repeats become R, different spans of one anchor C."""
-    first = prev = None  # of the anchor that is still open, and the first of its last span
-    told = False
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open spans sorted by (g, s, doc_id, a): the first of equal spans goes on, the others become R."""
+    first = None  # of the last span
     for batch in batches:
         kind = batch.column("kind").to_numpy()
-        g, s, doc, a, b = (batch.column(c).to_numpy() for c in NAMES[1:])
-        done = kind == R
-        if done.any():
-            yield _batch(R, g[done], s[done], doc[done], a[done], b[done])
-        g, s, doc, a, b = (x[~done] for x in (g, s, doc, a, b))
-        if not len(g):
+        rows = np.stack([batch.column(c).to_numpy() for c in NAMES[1:]], 1)
+        if (kind == R).any():
+            yield _batch(R, *rows[kind == R].T)
+        rows = rows[kind != R]
+        if not len(rows):
             continue
-        rows = np.stack([g, s, doc, a, b], 1)
-        lead = 0
-        if first is not None:
-            rows = np.concatenate([[first, prev], rows])
-            lead = 2
-        g, s = rows[:, 0], rows[:, 1]
-        new_g = np.append(True, g[1:] != g[:-1])
-        new_s = new_g | np.append(True, s[1:] != s[:-1])
-        at = np.arange(len(g))
-        head, rep = np.maximum.accumulate(np.where(new_g, at, 0)), np.maximum.accumulate(np.where(new_s, at, 0))
-        later = (at >= lead) & ((rows[:, 2] != rows[rep, 2]) | (rows[:, 3] != rows[rep, 3]))
+        lead = int(first is not None)
+        if lead:
+            rows = np.concatenate([[first], rows])
+        new = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))
+        rep = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+        later = (rows[:, 2:4] != rows[rep, 2:4]).any(1)
         yield from _ranges(*rows[later][:, 2:].T)
-        shared = new_s & ~new_g
-        shared[:lead] = False  # those are of the last batch
-        told_heads = np.unique(head[shared])
-        if lead and told:
-            told_heads = told_heads[told_heads > 0]
-        out = np.sort(np.concatenate([np.flatnonzero(shared), told_heads]))
-        if len(out):
-            yield _batch(C, *rows[out].T)
-        last = head[-1]
-        told = bool((shared & (head == last)).any()) or (bool(lead) and last == 0 and told)
-        first, prev = rows[last], rows[rep[-1]]
+        new[:lead] = False  # it went on with the last batch
+        if new.any():
+            yield _batch(S, *rows[new].T)
+        first = rows[rep[-1]]
 
 
-def _by_anchor(rows: DataFrame) -> DataFrame:
-    return map_arrow(rows.repartition("g").sortWithinPartitions("g", "s", "doc_id", "a"), _sorted_spans, MOVED)
+def _settled(rows: DataFrame) -> DataFrame:
+    return map_arrow(rows.repartition("g", "s").sortWithinPartitions("g", "s", "doc_id", "a"), _repeats, MOVED)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,15 +195,17 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, packed, asked in zip(batch.column("doc_id").to_pylist(), batch.column("packed"), batch.column("asked")):
             raw, asked = zlib.decompress(packed.as_py()), asked.values
+            mark = marked(raw)
             g, a, b, hot = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("g", "a", "b", "hot"))
-            cold = np.flatnonzero(~hot)
+            own = a >> OFFSET == mark >> OFFSET  # not those of another text of this doc_id
+            cold, hot = np.flatnonzero(own & ~hot), own & hot
             if len(cold):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cold), T, np.int32)), pa.array(g[cold]), pa.array(np.zeros(len(cold), np.int64)), pa.array(np.full(len(cold), i)), pa.array(a[cold]), pa.array(b[cold]), pa.array([raw[x:y] for x, y in zip(a[cold].tolist(), b[cold].tolist())], pa.binary())], [*NAMES, "piece"])
-            for x, y in zip(a[hot].tolist(), b[hot].tolist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cold), T, np.int32)), pa.array(g[cold]), pa.array(np.zeros(len(cold), np.int64)), pa.array(np.full(len(cold), i)), pa.array(a[cold]), pa.array(b[cold]), pa.array([raw[x:y] for x, y in zip((a[cold] - mark).tolist(), (b[cold] - mark).tolist())], pa.binary())], [*NAMES, "piece"])
+            for x, y in zip((a[hot] - mark).tolist(), (b[hot] - mark).tolist()):
                 h = gram_hashes(raw[x:y])
                 start = np.arange(y - x - WINDOW + 1)
                 one, two = range_hashes(h, start, start + WINDOW).view(np.int64), h[start].view(np.int64)
-                rest = _batch(S, one, two, np.full(len(start), i), start + x, start + x + WINDOW)
+                rest = _batch(S, one, two, np.full(len(start), i), start + x + mark, start + x + mark + WINDOW)
                 yield pa.RecordBatch.from_arrays([*rest.columns, pa.nulls(len(start), pa.binary())], [*NAMES, "piece"])
 
 
@@ -254,14 +255,14 @@ def _packed(docs: DataFrame) -> DataFrame:
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, a, b): byte ranges to remove; they may overlap and repeat."""
     docs = texts(docs)
-    met = kept(_by_anchor(map_arrow(docs, _open_spans, MOVED)), "spans")
-    asked = met.where(F.col("kind") == C).select("g", "doc_id", "a", "b")
-    hot = asked.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("g", F.lit(True).alias("hot"))
-    asked = asked.join(hot, "g", "left").select("doc_id", F.struct("g", "a", "b", F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
+    met = kept(_settled(map_arrow(docs, _open_spans, MOVED)), "spans")
+    first = met.where(F.col("kind") == S).select("g", "doc_id", "a", "b")
+    shared = kept(first.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", (F.col("n") > HOT).alias("hot")), "anchors")
+    asked = first.join(shared, "g").select("doc_id", F.struct("g", "a", "b", "hot").alias("x"))
     asked = asked.groupBy("doc_id").agg(F.collect_list("x").alias("asked"))  # at most a text's own spans
     pieces = kept(map_arrow(_packed(docs).join(asked, "doc_id").select("doc_id", "packed", "asked"), _pieces, MOVED + ", piece binary"), "pieces")
     sharded = map_arrow(pieces.where(F.col("kind") == T).select("g", "doc_id", "a", "piece").repartition("g").sortWithinPartitions("g"), _shards, MOVED)
-    whole = _by_anchor(pieces.where(F.col("kind") == S).select(*NAMES))
+    whole = _settled(pieces.where(F.col("kind") == S).select(*NAMES))
     found = met.where(F.col("kind") == R).unionByName(sharded).unionByName(whole.where(F.col("kind") == R))
     return found.select("doc_id", "a", "b")
 
@@ -287,7 +288,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             sizes, rests, runs = [], [], []
             for p, r in zip(b.column("packed"), b.column("ranges").to_pylist()):
                 raw = zlib.decompress(p.as_py())
-                rest, n = cut(raw, [(x["a"], x["b"]) for x in r or ()])
+                mark = marked(raw)
+                rest, n = cut(raw, [(x["a"] - mark, x["b"] - mark) for x in r or () if x["a"] >> OFFSET == mark >> OFFSET])
                 sizes.append(len(raw))
                 rests.append(rest)
                 runs.append(n)

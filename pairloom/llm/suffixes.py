@@ -1,17 +1,19 @@
-"""Suffix arrays by induced sorting, with numpy doing whole buckets at a time.
+"""Suffix arrays by induced sorting.
 
 Suffixes are classed as smaller (S) or larger (L) than the next; leftmost-S substrings are sorted by one
-induction, named, and sorted as a string of names; a second induction gives the array. Within one bucket an
-induction scan only meets suffixes that earlier buckets, or earlier rounds of the same letter, have placed,
-so a bucket is a few array operations rather than a loop over suffixes. The string of names is sorted by the
-same routine while it has at most ALPHABET names, and beyond that by doubling, as its buckets are then small.
+induction, named, and sorted as a string of names by the same routine, whatever the number of names; a second
+induction gives the array. Within one bucket an induction scan only meets suffixes that earlier buckets, or
+earlier rounds of the same letter, have placed: so where buckets are few and large, numpy takes a bucket in a
+few array operations. A string of names has many small buckets, and there the scan goes suffix by suffix over
+one array with a head and a tail for each bucket. Either way it is linear.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-ALPHABET = 1024
+#: Letters up to which an induction goes bucket by bucket.
+BUCKETS = 1024
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -52,8 +54,7 @@ def _sorted(t: np.ndarray, size: int) -> np.ndarray:
         at = np.zeros(n, np.int64)
         at[order] = names
         word = at[lms]
-        ranked = _sorted(word, int(names[-1]) + 1) if names[-1] < ALPHABET else _doubling(word)
-        order = lms[ranked]
+        order = lms[_sorted(word, int(names[-1]) + 1)]
     return _induce(t, size, smaller, order)
 
 
@@ -71,6 +72,36 @@ def _deal(p: np.ndarray, t: np.ndarray, parts: list[list[np.ndarray]]) -> None:
 
 def _induce(t: np.ndarray, size: int, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """All suffixes in order, given the leftmost-S ones in order."""
+    return _induce_buckets(t, size, smaller, lms) if size <= BUCKETS else _induce_each(t, size, smaller, lms)
+
+
+def _induce_each(t: np.ndarray, size: int, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    count = np.bincount(t, minlength=size)
+    stops = np.cumsum(count)
+    sa, letter, small = [0] * len(t), t.tolist(), smaller.tolist()
+    tails = stops.tolist()
+    for p in lms[::-1].tolist():
+        c = letter[p]
+        tails[c] -= 1
+        sa[tails[c]] = p
+    heads = (stops - count).tolist()
+    for i in range(len(sa)):
+        p = sa[i] - 1
+        if p >= 0 and not small[p]:
+            c = letter[p]
+            sa[heads[c]] = p
+            heads[c] += 1
+    tails = stops.tolist()
+    for i in range(len(sa) - 1, -1, -1):
+        p = sa[i] - 1
+        if p >= 0 and small[p]:
+            c = letter[p]
+            tails[c] -= 1
+            sa[tails[c]] = p
+    return np.array(sa, np.int64)
+
+
+def _induce_buckets(t: np.ndarray, size: int, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
     none = np.zeros(0, np.int64)
     join = lambda parts: np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else none
     given: list[list[np.ndarray]] = [[] for _ in range(size)]
@@ -108,32 +139,6 @@ def _induce(t: np.ndarray, size: int, smaller: np.ndarray, lms: np.ndarray) -> n
     return np.concatenate([x for c in range(size) for x in (large[c][0], small[c][0])])
 
 
-def _doubling(word: np.ndarray) -> np.ndarray:
-    """The suffixes of a string of names in order; only groups that are still tied are sorted again."""
-    n = len(word)
-    sa = np.argsort(word, kind="stable")
-    head = np.append(True, word[sa[1:]] != word[sa[:-1]])
-    start = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[sa] = start
-    step = 1
-    while True:
-        lone = head & np.append(head[1:], True)
-        tied = np.flatnonzero(~lone)
-        if not len(tied):
-            return sa
-        p = sa[tied]
-        after = np.where(p + step < n, rank[np.minimum(p + step, n - 1)] + 1, 0)
-        order = np.lexsort((after, start[tied]))
-        p, after, group = p[order], after[order], start[tied]
-        sa[tied] = p
-        fresh = np.append(True, (after[1:] != after[:-1]) | (group[1:] != group[:-1]))
-        head[tied] = fresh
-        start[tied] = np.maximum.accumulate(np.where(fresh, tied, 0))
-        rank[p] = start[tied]
-        step *= 2
-
-
 def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """Permuted common prefixes: for each start, in text order, the letters it shares with the suffix before it in sa, at most `most`."""
     n = len(text)

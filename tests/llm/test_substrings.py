@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,10 +11,10 @@ from helpers import empty, odd, odd_rows, prose
 from pairloom.llm import substrings, suffixes
 
 
-@pytest.mark.parametrize("alphabet", [0, 3, 1024])
-def test_suffix_array(monkeypatch, alphabet):
-    monkeypatch.setattr(suffixes, "ALPHABET", alphabet)
-    r = random.Random(alphabet)
+@pytest.mark.parametrize("buckets", [0, 3, 1024])
+def test_suffix_array(monkeypatch, buckets):
+    monkeypatch.setattr(suffixes, "BUCKETS", buckets)
+    r = random.Random(buckets)
     for _ in range(250):
         k, n = r.choice([1, 2, 3, 26, 255]), r.randint(0, 150)
         t = np.array([r.randrange(k) for _ in range(n)], np.uint8)
@@ -26,6 +27,18 @@ def test_suffix_array(monkeypatch, alphabet):
             assert shared[b] == n
 
 
+def test_large_texts_recurse(monkeypatch):
+    """A megabyte: names are sorted by the same routine, level by level, and the order is right."""
+    depth, plain = [], suffixes._sorted
+    monkeypatch.setattr(suffixes, "_sorted", lambda t, size: depth.append((len(t), size)) or plain(t, size))
+    raw = (prose(1, 100_000) + prose(2, 50_000) + prose(1, 60_000)).encode()[:1_000_000]
+    sa = suffixes.suffix_array(np.frombuffer(raw, np.uint8))
+    assert len(depth) > 2 and max(size for _, size in depth) > suffixes.BUCKETS and all(b[0] <= a[0] / 2 + 1 for a, b in zip(depth, depth[1:]))
+    assert (np.sort(sa) == np.arange(len(raw))).all()
+    for k in random.Random(1).sample(range(len(sa) - 1), 20_000):
+        assert raw[sa[k] : sa[k] + 300_000] < raw[sa[k + 1] : sa[k + 1] + 300_000]
+
+
 def brute(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):
@@ -78,11 +91,32 @@ def test_small_segments_and_shards(monkeypatch):
     open_rows.sort(key=lambda r: (r["g"], r["s"], r["doc_id"], r["a"]))
     schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in substrings.NAMES[1:])])
     batches = [pa.RecordBatch.from_pylist(open_rows[i : i + 23], schema) for i in range(0, len(open_rows), 23)]
-    met = [r for b in substrings._sorted_spans(iter(batches)) for r in b.to_pylist()]
+    met = [r for b in substrings._repeats(iter(batches)) for r in b.to_pylist()]
     texts = {i: t.encode() for i, t in rows}
-    asked = sorted((r for r in met if r["kind"] == substrings.C), key=lambda r: r["g"])
-    pieces = [pa.RecordBatch.from_pylist([{"g": r["g"], "doc_id": r["doc_id"], "a": r["a"], "piece": texts[r["doc_id"]][r["a"] : r["b"]]}]) for r in asked]
+    many = Counter(r["g"] for r in met if r["kind"] == substrings.S)
+    asked = sorted((r for r in met if r["kind"] == substrings.S and many[r["g"]] > 1), key=lambda r: r["g"])
+    at = lambda r, c: r[c] - substrings.marked(texts[r["doc_id"]])
+    pieces = [pa.RecordBatch.from_pylist([{"g": r["g"], "doc_id": r["doc_id"], "a": r["a"], "piece": texts[r["doc_id"]][at(r, "a") : at(r, "b")]}]) for r in asked]
     found = [r for r in met if r["kind"] == substrings.R] + [r for b in substrings._shards(iter(pieces)) for r in b.to_pylist()]
     for i, want in brute(rows).items():
-        rest, runs = substrings.cut(texts[i], [(r["a"], r["b"]) for r in found if r["doc_id"] == i])
+        rest, runs = substrings.cut(texts[i], [(at(r, "a"), at(r, "b")) for r in found if r["doc_id"] == i])
         assert (len(texts[i]) - len(rest), runs, hashlib.sha256(rest).hexdigest()) == want[1:]
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_texts_that_share_a_doc_id(spark, monkeypatch, hot):
+    """They are documents of their own: each loses what another holds earlier, and neither gets the other's ranges."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    one, two, both = prose(1, 50), prose(2, 70), prose(3, 60)
+    rows = [(7, one + both), (7, two + both), (7, two + both), (8, both + " end"), (9, one)]
+    first, second = sorted([one + both, two + both], key=lambda t: substrings.marked(t.encode()))
+    want = brute([(0, first), (1, second), (8, both + " end"), (9, one)])
+    got = sorted(tuple(r)[1:] for r in substrings.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([want[0], want[1], want[0 if first == two + both else 1], want[8], want[9]])
+
+
+def test_a_long_text(spark):
+    said = prose(4, 150_000)
+    rows = [(1, said), (2, "x " + said[300_000:] + prose(5, 50)), (3, prose(6, 150_000))]
+    got = {r.doc_id: r.n_removed for r in substrings.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[3] == 0 and abs(got[2] - len(said[300_000:])) < 30
