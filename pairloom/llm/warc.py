@@ -6,8 +6,10 @@ the response in WARC-Refers-To, keep its target and date, and carry SHA-1 digest
 the source's payload digest. Record identifiers are derived from the response's, so a rerun, or a retry
 after a lost executor, gives the same records.
 
-Null pages have an empty payload, null addresses no target. Repeated rows repeat their records. A record
-that cannot be parsed raises an error naming it. Extra columns are ignored. One pass, without a shuffle.
+Pages are read in one walk, linear in their length whatever their markup. Null and empty pages have an empty
+payload, null addresses no target. Repeated rows repeat their records, so ties need no rule. A record that cannot
+be parsed raises a ValueError that names it or its place. An empty table gives an empty table. Extra columns are
+ignored. One pass, without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 from pairloom.llm.frames import map_arrow
 
 DATE = "1970-01-01T00:00:00Z"
-SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-BREAKS = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
-TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements whose content is no text, and those that end a line.
+HIDDEN = frozenset("script style noscript template".split())
+LINES = frozenset("address article aside blockquote br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split())
+NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9-]*)")
+HREF = re.compile(r"\bhref\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 def digest(raw: bytes) -> str:
@@ -72,23 +74,81 @@ def records(raw: bytes) -> Iterator[bytes]:
         rest, parts = raw, []
         while rest:
             z = zlib.decompressobj(31)
-            parts.append(z.decompress(rest) + z.flush())
+            try:
+                parts.append(z.decompress(rest) + z.flush())
+            except zlib.error as e:
+                raise ValueError(f"a member of a WARC file is damaged after {sum(map(len, parts))} bytes: {e}") from e
             rest = z.unused_data
         raw = b"".join(parts)
     at = 0
     while at < len(raw):
-        head = raw.index(b"\r\n\r\n", at)
-        size = int(re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", raw[at : head + 2])[1])
-        yield raw[at : head + 4 + size]
-        at = head + 4 + size
+        head = raw.find(b"\r\n\r\n", at)
+        if head < 0:
+            raise ValueError(f"the headers of a WARC record at byte {at} are cut off: {raw[at : at + 60]!r}")
+        size = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", raw[at : head + 2])
+        if not size:
+            raise ValueError(f"a WARC record at byte {at} has no Content-Length: {raw[at : at + 60]!r}")
+        end = head + 4 + int(size[1])
+        yield raw[at:end]
+        at = end
         while raw[at : at + 2] == b"\r\n":
             at += 2
 
 
+def markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text, name, tag): the text before each tag, the tag's name in lower case (/ before it if it closes), and the tag.
+
+    One walk: comments and hidden elements are stepped over, and where no tag closes any more the rest is text.
+    """
+    at, start, text = 0, 0, []
+    while (start := page.find("<", start)) >= 0:
+        if page.startswith("<!--", start):
+            text.append(page[at:start])
+            end = page.find("-->", start + 4)
+            at = start = len(page) if end < 0 else end + 3
+            continue
+        if not (start + 1 < len(page) and (page[start + 1].isascii() and page[start + 1].isalpha() or page[start + 1] in "/!?")):
+            start += 1
+            continue
+        end = page.find(">", start)
+        if end < 0:
+            break
+        found = NAME.match(page, start + 1)
+        name = found[0].lower() if found else ""
+        text.append(page[at:start])
+        at = end + 1
+        if name in HIDDEN:
+            close = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
+            at = close.end() if close else len(page)
+            name = ""
+        if name:
+            yield "".join(text), name, page[start : end + 1]
+            text = []
+        start = at
+    yield "".join([*text, page[at:]]), "", ""
+
+
+def told(page: str) -> tuple[str, str | None, list[str]]:
+    """The text of a page (a line for each block element, blanks collapsed, entities resolved), its title, its links."""
+    parts, links, title, inside = [], [], None, False
+    for text, name, tag in markup(page):
+        parts.append(text)
+        if inside:
+            title += text
+        if name in ("title", "/title"):
+            inside = name == "title" and title is None
+            title = "" if inside else title
+        if name.removeprefix("/") in LINES:
+            parts.append("\n")
+        if name == "a" and (found := HREF.search(tag)):
+            links.append(html.unescape(found[1] or found[2] or found[3] or ""))
+    lines = html.unescape("".join(parts)).split("\n")
+    title = None if title is None else " ".join(html.unescape(title).split())
+    return "\n".join(line for x in lines if (line := " ".join(x.split()))), title, links
+
+
 def plain_text(page: str) -> str:
-    """The text of a page: a line for each block element, blanks collapsed, entities resolved."""
-    text = TAG.sub("", BREAKS.sub("\n", SKIPPED.sub("", page)))
-    return "\n".join(line for x in html.unescape(text).split("\n") if (line := " ".join(x.split())))
+    return told(page)[0]
 
 
 def derive(raw: bytes) -> list[dict]:
@@ -105,17 +165,16 @@ def derive(raw: bytes) -> list[dict]:
     except LookupError:
         page = payload.decode("utf-8", "replace")
     name, source = headers["warc-record-id"], headers.get("warc-payload-digest") or digest(payload)
-    title = TITLE.search(page)
+    text, title, links = told(page)
     fields = [("status", status), ("source-payload-digest", source), *(("source-header", x) for x in lines if x)]
-    fields += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
-    fields += [("outlink", html.unescape(a or b or c)) for a, b, c in LINK.findall(SKIPPED.sub("", page))]
-    text = plain_text(page)
+    fields += [("title", title)] if title is not None else []
+    fields += [("outlink", x) for x in links]
     out = []
     for warc_type, content_type, body in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), ("conversion", "text/plain; charset=utf-8", text)):
         held = body.encode("utf-8", "surrogatepass")
         own = f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {warc_type}').urn}>"
-        links = [("WARC-Refers-To", name), ("WARC-Date", headers.get("warc-date", "")), ("WARC-Target-URI", headers.get("warc-target-uri", "")), ("WARC-Payload-Digest", digest(held) if warc_type == "conversion" else "")]
-        out.append({"warc_type": warc_type, "record_id": own, "refers_to": name, "target_uri": headers.get("warc-target-uri"), "source_headers": "\n".join([status, *lines]), "source_digest": source, "block_digest": digest(held), "n_bytes": len(held), "content": body, "record": record(warc_type, own, content_type, held, links)})
+        refers = [("WARC-Refers-To", name), ("WARC-Date", headers.get("warc-date", "")), ("WARC-Target-URI", headers.get("warc-target-uri", "")), ("WARC-Payload-Digest", digest(held) if warc_type == "conversion" else "")]
+        out.append({"warc_type": warc_type, "record_id": own, "refers_to": name, "target_uri": headers.get("warc-target-uri"), "source_headers": "\n".join([status, *lines]), "source_digest": source, "block_digest": digest(held), "n_bytes": len(held), "content": body, "record": record(warc_type, own, content_type, held, refers)})
     return out
 
 
