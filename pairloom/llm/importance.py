@@ -1,14 +1,16 @@
 """Importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Both models are bags of hashed byte n-grams (GRAMS bytes, BUCKETS buckets). The raw model counts every
-document; the target model counts a bounded, documented sample of documents labelled as good. A document's
-log weight is its mean log ratio over its n-grams times its number of n-grams, at most SPAN of them, so that
-a long text of a rarer language does not sink by its length alone. Gumbel noise, fixed by seed and doc_id, is
+document; the target model counts a bounded, documented sample of documents labelled as good. The n-grams of
+one text are not independent: n of them tell as much as n / (1 + (n - 1) / ALIKE) that are, as in a sample of
+clusters. A document's log weight is its mean log ratio times that number, so that a long text of a rarer language
+does not sink by its length alone. Gumbel noise, fixed by seed and doc_id (by the text where there is none), is
 added, and the k largest are the sample: k = rows x the share of good labels, two standard errors upward.
-The k-th value is found by radix selection, without sorting.
+The k-th value is found by radix selection, without sorting; rows that tie with it are all in the sample.
 
-Null and empty texts have weight 0. Rows that repeat a doc_id and text have one weight and stay or go
-together. Without labels of either kind nothing is known and all rows stay. Extra columns are carried along.
+Null and empty texts have weight 0; long texts are weighed whole, a piece at a time. Rows that repeat a doc_id and
+text have one weight and stay or go together. Without labels of either kind nothing is known and all rows stay. An
+empty table gives an empty table. Extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.frames import kept, map_arrow, texts
 
-GRAMS, BUCKETS_LOG2, SPAN, SMOOTH, TARGETS, SEED = (3, 6), 18, 400, 1.0, 20_000, 7
+GRAMS, BUCKETS_LOG2, ALIKE, SMOOTH, TARGETS, SEED = (3, 6), 18, 400, 1.0, 20_000, 7
 #: n-grams counted at once.
 CHUNK = 1 << 20
 
@@ -53,13 +55,14 @@ class Model:
         total, n = 0.0, 0
         for part in hashed(text):
             total, n = total + float(self.ratio[part].sum()), n + len(part)
-        return total / n * min(n, SPAN) if n else 0.0
+        return total / (1 + (n - 1) / ALIKE) if n else 0.0
 
-    def key(self, doc_id: int | None, weight: float) -> int:
-        """Weight plus Gumbel noise, as an integer of the same order."""
-        u = (xxhash.xxh64_intdigest(str(doc_id), self.seed) + 0.5) / 2**64
+    def key(self, doc_id: int | None, text: str) -> tuple[float, int]:
+        """The weight, and the weight plus Gumbel noise as an integer of the same order."""
+        weight, name = self.weight(text), str(doc_id) if doc_id is not None else f"\0{text}"
+        u = (xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), self.seed) + 0.5) / 2**64
         bits = int(np.float64(weight - np.log(-np.log(u)) + 0.0).view(np.int64))
-        return bits if bits >= 0 else bits ^ 0x7FFFFFFFFFFFFFFF
+        return weight, bits if bits >= 0 else bits ^ 0x7FFFFFFFFFFFFFFF
 
 
 def fit(docs: DataFrame, labels: DataFrame, targets: int = TARGETS, seed: int = SEED) -> Model:
@@ -115,9 +118,8 @@ def weights(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            w = [m.weight(t.as_py()) for t in b.column("text")]
-            keys = [m.key(i, x) for i, x in zip(b.column("doc_id").to_pylist(), w)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w, pa.float64()), pa.array(keys, pa.int64())], ["doc_id", "log_weight", "rank_key"])
+            got = [m.key(i, t.as_py()) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int64())], ["doc_id", "log_weight", "rank_key"])
 
     return map_arrow(texts(docs), run, "doc_id long, log_weight double, rank_key long")
 
@@ -159,7 +161,7 @@ def filtered(docs: DataFrame, labels: DataFrame, **how: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            stay = [m.key(i, m.weight(t.as_py() or "")) >= least for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"))]
+            stay = [m.key(i, t.as_py() or "")[1] >= least for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"))]
             yield b.filter(pa.array(stay, pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

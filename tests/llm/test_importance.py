@@ -39,7 +39,9 @@ def test_sample(spark):
                 target[x] += i % 4 > 0
     part = target.sum() / raw.sum()
     assert np.allclose(model.ratio, np.log((target + part) / target.sum()) - np.log((raw + 1) / raw.sum()))
-    keys = {i: model.key(i, model.weight(t)) for i, t in texts.items()}
+    keys = {i: model.key(i, t)[1] for i, t in texts.items()}
+    grams = {i: [x for n in importance.GRAMS for x in brute_grams(t, n)] for i, t in texts.items()}
+    assert all(np.isclose(model.weight(t), sum(model.ratio[grams[i]]) / (1 + (len(grams[i]) - 1) / importance.ALIKE)) for i, t in texts.items())
     k = int(np.ceil(400 * model.share))
     want = set(sorted(keys, key=keys.get, reverse=True)[:k])
     assert {r.doc_id for r in importance.resample(docs, labels).collect()} == want
@@ -62,3 +64,9 @@ def test_odd_rows(spark, labelled):
     assert got.columns == odd(spark).columns and set(CLASHING) < set(got.columns)
     assert got.count() == len(odd_rows()) if len(labelled) < 2 else got.count() > 0
     assert importance.filtered(empty(spark), labels).count() == importance.resample(empty(spark), labels).count() == 0
+
+
+def test_rows_without_a_doc_id_draw_their_own_noise():
+    model = importance.Model(np.zeros(1 << importance.BUCKETS_LOG2), 0.5)
+    assert model.key(None, "a")[1] != model.key(None, "b")[1] and model.key(None, "a") == model.key(None, "a")
+    assert model.key(1, "a") == model.key(1, "b") and model.key(1, "x" * 3_000_000)[0] == 0

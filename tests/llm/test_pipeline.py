@@ -54,7 +54,7 @@ def brute(texts):
             np.add.at(target, found, 1)
     ratio = np.log((target + target.sum() / raw.sum()) / target.sum()) - np.log((raw + 1) / raw.sum())
     model = importance.Model(ratio, min(1.0, 0.8 + 2 * (0.8 * 0.2 / 240) ** 0.5))
-    keys = {i: model.key(i, float(ratio[g].sum()) / len(g) * min(len(g), importance.SPAN)) for i, g in grams.items()}
+    keys = {i: model.key(i, t)[1] for i, t in enumerate(texts)}
     left = sorted(keys, key=keys.get, reverse=True)[: int(np.ceil(240 * model.share))]
     left = brute_near({i: texts[i] for i in sorted(left)})
     items = [contamination.folded(prose(5000 + i, 30))[0] for i in range(3)]
