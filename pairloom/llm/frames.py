@@ -24,13 +24,13 @@ def texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a local folder takes its place.
+    Where that is unset, a local folder takes its place on a local master (tests); elsewhere that is an error,
+    as executors would write to disks that others do not see.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pairloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -39,20 +39,15 @@ def shared_folder(spark: SparkSession) -> str:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder as Parquet and read back: lineage ends here.
 
-    The rows outlive any executor, and a later stage reads only the columns it needs.
+    The rows outlive any executor, and a later stage reads only the columns it needs. All tables of an application
+    are in one folder, pairloom/{application}, which can go when its results are written.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/pairloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/pairloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint(), for small frames inside loops."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes rather than rows, so long texts do not pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
