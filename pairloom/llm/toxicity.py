@@ -7,10 +7,10 @@ example has tells nothing, its G2 is 0, and so is its weight, by the rule itself
 64 bits.
 
 The index keeps, by term, its examples and weights. Terms that few examples have are summed first; those that
-many have (more than one in DENSE) lie in rows over all examples with their largest weight in each block of
-BLOCK. A search visits blocks by falling upper bound (best sum so far in the block, plus what the frequent
-terms can add there) and stops when none can reach the k-th best, so it is exact; examples that tie with the
-k-th all vote. Votes are weighted by similarity; a logistic fit of leave-one-out votes makes them scores.
+many have (over one in DENSE) lie in rows over all examples with their largest weight in each block of
+BLOCK. A block's upper bound is its best sum so far plus what the frequent terms can add there. A search sums
+the blocks of the highest bounds, and of the others those whose bound reaches the k-th best; so it is exact.
+Examples that tie with the k-th all vote. Votes are weighted by similarity; a logistic fit of leave-one-out votes makes them scores.
 
 A text with no term of an example is the zero vector, whose neighbours are the examples that are zero too;
 null and empty texts are such. Long texts are scored whole. Repeated rows are scored alike. Labels that are
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.frames import kept, map_arrow, texts
 
-EXAMPLES, NEIGHBOURS, BLOCK, DENSE, PRIOR = 4096, 25, 64, 16, 1.0
+EXAMPLES, NEIGHBOURS, BLOCK, DENSE, PRIOR = 4096, 25, 64, 2, 1.0
 WORD = regex.compile(r"\p{L}+")
 #: Texts whose answers a worker remembers, by digest.
 MEMO = 20_000
@@ -95,13 +95,13 @@ class Index:
         n, size = len(self.ids), len(self.vocabulary)
         heaviest = [int(o[w.argmax()]) if len(o) else -1 for o, w in self.rows]
         order = np.lexsort((self.ids, heaviest))  # examples of one telling term share blocks
-        self.ids, self.toxic, self.rows = self.ids[order], self.toxic[order], [self.rows[i] for i in order]
+        self.ids, self.toxic, self.rows = self.ids[order], self.toxic[order], [(self.rows[i][0], self.rows[i][1].astype(np.float32)) for i in order]
         self.prior = float(self.toxic.mean()) if n else 0.0
         self.zero = np.array([i for i, r in enumerate(self.rows) if not len(r[0])], np.int64)
         blocks = max(1, -(-n // BLOCK))
         term = np.concatenate([np.zeros(0, np.int64), *(r[0] for r in self.rows)])
         who = np.repeat(np.arange(n), [len(r[0]) for r in self.rows])
-        said = np.concatenate([np.zeros(0), *(r[1] for r in self.rows)])
+        said = np.concatenate([np.zeros(0, np.float32), *(r[1] for r in self.rows)])
         by = np.argsort(term, kind="stable")
         term, self.who, self.said = term[by], who[by].astype(np.int32), said[by]
         many = np.bincount(term, minlength=size)
@@ -109,7 +109,7 @@ class Index:
         frequent = np.flatnonzero(many * DENSE > n)
         self.row = np.full(size, -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), blocks, BLOCK))
+        self.dense = np.zeros((len(frequent), blocks, BLOCK), np.float32)
         for k, t in enumerate(frequent.tolist()):
             a, z = self.first[t], self.first[t + 1]
             self.dense[k].ravel()[self.who[a:z]] = self.said[a:z]
@@ -133,24 +133,25 @@ class Index:
         held = np.bincount(self.who[at], np.repeat(w[~often], n) * self.said[at], minlength=self.bounds.shape[1] * BLOCK)
         blocks, heavy, row = held.reshape(-1, BLOCK), w[often], row[often]
         upper = blocks.max(1) + np.einsum("i,ij->j", heavy, self.bounds[row])
-        found, scores, kth, order, done, step = [], [], 0.0, np.argsort(-upper, kind="stable"), 0, 1
-        while done < len(order):
-            some = order[done : done + step]
-            some = some[(upper[some] > 0) & (upper[some] >= kth - 1e-9)]
-            if not len(some):
-                break
-            sums = blocks[some] + np.einsum("i,ijk->jk", heavy, self.dense[row[:, None], some])
+        order = np.argsort(-upper, kind="stable")
+        lead = order[: -(-2 * self.neighbours // BLOCK)]  # these give a first k-th best, and rule out most of the rest
+
+        def summed(some: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+            sums = (blocks[some] + np.einsum("i,ijk->jk", heavy, self.dense[row[:, None], some])).ravel()
             place = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            there = (sums.ravel() > max(kth - 1e-9, 0)) & (place != skip)
-            found.append(place[there])
-            scores.append(sums.ravel()[there].round(9))
-            best = np.concatenate(scores)
-            if len(best) >= self.neighbours:
-                kth = float(np.partition(best, -self.neighbours)[-self.neighbours])
-            done, step = done + step, step * 2
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        place, score = np.concatenate(found), np.concatenate(scores)
+            there = (sums > max(least - 1e-9, 0)) & (place != skip)
+            return place[there], sums[there].round(9)
+
+        def kth_of(score: np.ndarray) -> float:
+            return float(np.partition(score, -self.neighbours)[-self.neighbours]) if len(score) >= self.neighbours else 0.0
+
+        place, score = summed(lead, 0.0)
+        kth = kth_of(score)
+        rest = order[len(lead) :]
+        rest = rest[(upper[rest] > 0) & (upper[rest] >= kth - 1e-9)]
+        if len(rest):
+            place, score = (np.concatenate(x) for x in zip((place, score), summed(rest, kth)))
+            kth = kth_of(score)
         stay = (score >= kth) & (score > 0)
         return place[stay], score[stay]
 
