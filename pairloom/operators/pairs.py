@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
-from pairloom.operators.sampling import numbered, sample_per_group, seeded, stratified
+from pairloom.operators.sampling import numbered, ranks, ranks_by_id, sample_per_group, seeded, stratified, with_parts
 
 ACCEPTED, WRONG = "Accepted", "Wrong Answer"
 SIDE = ("lang", "problem_id", "submission_id", "n_lines", "max_chars")
@@ -67,22 +67,6 @@ def easy_negatives(subs: DataFrame, l1: str, l2: str, per_left: int = 3, seed: o
     return met.drop("rank", "draw").distinct().withColumn("neg_type", F.lit("easy")).withColumn("longest", F.greatest("n_lines1", "n_lines2"))
 
 
-def ranks(df: DataFrame, order: Column, *ties: str) -> DataFrame:
-    """Rows with their rank from 0 over all rows, without gathering them in one task.
-
-    Rows are dealt by range of the order, counted per range, and ranked within it; the offsets are one small
-    row per range.
-    """
-    dealt = df.withColumn("order", order)
-    lead = F.substring("order", 1, 2)
-    within = Window.partitionBy("part").orderBy("order", *ties)
-    parts = dealt.withColumn("part", lead)
-    counts = parts.groupBy("part").agg(F.count("*").alias("size"))  # at most 256 rows
-    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    return parts.withColumn("within", F.row_number().over(within) - 1).join(F.broadcast(offsets), "part").withColumn("rank", F.col("before") + F.col("within")).drop("order", "part", "within", "before")
-
-
 def mixed_pairs(subs: DataFrame, l1: str, l2: str, n: int, tag: str, seed: object = 42, per_side: int = 3) -> DataFrame:
     """n pairs, half positive, a quarter hard and a quarter easy, each stratified by the longer side's lines."""
     n_pos, n_hard = n // 2, n // 4
@@ -147,12 +131,12 @@ def cross_problem_negatives(subs: DataFrame, used: DataFrame, seed: object, draw
 
 def random_partners(rows: DataFrame, group: str, key: str, same: bool, seed: object) -> DataFrame:
     """Each row with a partner of the same group, or of another, by seeded rank."""
-    order = [seeded(seed, key), F.col(key)]
     if same:
-        g = Window.partitionBy(group)
-        a = rows.select(group, key, F.row_number().over(g.orderBy(*order)).alias("r"), F.count("*").over(g).alias("n"))
-        b = a.select(F.col(group).alias("g2"), F.col(key).alias("partner"), F.col("r").alias("r2"))
-        return a.join(b, (a[group] == b["g2"]) & (F.col("r2") == F.col("r") % F.col("n") + 1)).where(F.col(key) != F.col("partner")).select(group, key, "partner")
+        sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
+        a = ranks(rows.select(group, key), seeded(seed, key), key, group=[group])
+        b = a.select(group, F.col(key).alias("partner"), F.col("rank").alias("next"))
+        a = a.join(sizes, group).withColumn("next", (F.col("rank") + 1) % F.col("n"))
+        return a.join(b, [group, "next"]).where(F.col(key) != F.col("partner")).select(group, key, "partner")
     ranked = ranks(rows.select(group, key), seeded(seed, key), key)
     n = F.broadcast(rows.agg(F.count("*").alias("n")))
     slot = F.conv(F.substring(seeded(f"{seed}:partner", key), 1, 8), 16, 10).cast("long") % F.col("n")
@@ -162,15 +146,26 @@ def random_partners(rows: DataFrame, group: str, key: str, same: bool, seed: obj
 
 
 def zip_replacement(failed: DataFrame, spare: DataFrame, key: str) -> DataFrame:
-    """The k-th failed row with the k-th spare one."""
-    at = lambda df, name: df.select(F.col(key).alias(name), F.row_number().over(Window.orderBy(key)).alias("k"))  # noqa: E731  exceptions, a small list
+    """The k-th failed row with the k-th spare one, from 1, in the order of a whole number."""
+    at = lambda df, name: ranks_by_id(df.select(key), key).select(F.col(key).alias(name), (F.col("rank") + 1).alias("k"))
     return at(failed, "failed").join(at(spare, "spare"), "k")
 
 
 def assign_slots(clones: DataFrame, targets: DataFrame, per_clone: Column, order: str) -> DataFrame:
-    """Clone fragments dealt to numbered targets (slot) by a running count of per_clone."""
-    dealt = clones.withColumn("slot", F.sum(per_clone).over(Window.orderBy(order)) - per_clone)
-    return dealt.join(targets, "slot")
+    """Clone fragments dealt to numbered targets (slot) by a running count of per_clone, in the order of a whole number."""
+    parts = with_parts(clones.withColumn("wanted", per_clone.cast("long")), order)
+    sums = parts.groupBy("part").agg(F.sum("wanted").alias("sum"))  # at most 65,536 rows
+    before = F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum("wanted").over(Window.partitionBy("part").orderBy(order)) - F.col("wanted")
+    slots = parts.withColumn("within", within).join(sums.select("part", before.alias("before")), "part").withColumn("slot", F.col("before") + F.col("within"))
+    return slots.drop("part", "wanted", "within", "before").join(targets, "slot")
+
+
+def within_problem(found: DataFrame, used: DataFrame, need: int, seed: object, times: int = 3) -> DataFrame:
+    """Pairs of which neither side is used, at most `times` as many as needed, in seeded order: a distributed top-n."""
+    key = ["submission_id1", "submission_id2"]
+    named = found.withColumn("pair_id", F.concat_ws("_", *key))
+    return drop_either_side(named, used).orderBy(seeded(seed, *key), *key).limit(times * need)
 
 
 def exclude(subs: DataFrame, used: DataFrame, key: str = "submission_id") -> DataFrame:

@@ -50,17 +50,16 @@ def python_functions(docs: DataFrame, key: str, said: str) -> DataFrame:
 
 
 def layout_python(tokens: str) -> str:
-    """Code from tokens with NEW_LINE, INDENT and DEDENT among them; empty lines are left out."""
-    out, depth = [], 0
-    for piece in tokens.replace("\t", " ").split("NEW_LINE"):
-        words = []
-        for w in piece.split():
-            if w in ("INDENT", "DEDENT"):
-                depth = depth + 1 if w == "INDENT" else max(0, depth - 1)
-            else:
-                words.append(w)
-        if words:
+    """Code from tokens with NEW_LINE, INDENT and DEDENT among them, each a whole token; empty lines are left out."""
+    out, depth, words = [], 0, []
+    for w in [*tokens.split(), "NEW_LINE"]:
+        if w in ("INDENT", "DEDENT"):
+            depth = depth + 1 if w == "INDENT" else max(0, depth - 1)
+        elif w != "NEW_LINE":
+            words.append(w)
+        elif words:
             out.append("    " * depth + " ".join(words))
+            words = []
     return "\n".join(out)
 
 

@@ -40,14 +40,46 @@ def stratified(df: DataFrame, stratum: str, strata: int, n: int, *key: str, seed
     return ranked.orderBy(rest, *order).limit(n).drop("rank")
 
 
+def _ranked(parts: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Rows with their rank from 0 in their group, given parts that follow each other in the order.
+
+    Rows are counted per part and ranked within it; the offsets are one small row per part.
+    """
+    counts = parts.groupBy(*group, "part").agg(F.count("*").alias("size"))  # at most 65,536 rows a group
+    before = F.sum("size").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*group, "part", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy(*group, "part").orderBy(*order)) - 1
+    return parts.withColumn("within", within).join(offsets, [*group, "part"]).withColumn("rank", F.col("before") + F.col("within")).drop("part", "within", "before")
+
+
+def ranks(df: DataFrame, order: Column, *ties: str, group: list[str] | None = None) -> DataFrame:
+    """Rows with their rank from 0 over all rows, or over a group's, without gathering them in one task.
+
+    order is a digest in hexadecimal: its first four digits deal the rows.
+    """
+    parts = df.withColumn("order", order).withColumn("part", F.conv(F.substring("order", 1, 4), 16, 10).cast("int"))
+    return _ranked(parts, group or [], ["order", *ties]).drop("order")
+
+
+def with_parts(df: DataFrame, key: str) -> DataFrame:
+    """df with parts by equal ranges of a whole number, 65,536 at most."""
+    ends = F.broadcast(df.agg(F.min(key).cast("decimal(38,0)").alias("least"), F.max(key).cast("decimal(38,0)").alias("most")))  # one row
+    part = ((F.col(key).cast("decimal(38,0)") - F.col("least")) * 65536 / (F.col("most") - F.col("least") + 1)).cast("int")
+    return df.join(ends).withColumn("part", part).drop("least", "most")
+
+
+def ranks_by_id(df: DataFrame, key: str, group: list[str] | None = None) -> DataFrame:
+    """Rows with their rank from 0 in the order of a whole number, over all rows or a group's; no task gathers them."""
+    return _ranked(with_parts(df, key), group or [], [key])
+
+
 def pool_split(ids: DataFrame, key: str, test: float = 0.10, val: float = 0.05, seed: object = 42) -> DataFrame:
     """(key, pool): int(test n) ids for test, int(val n) for val, the others for train."""
     n = ids.agg(F.count("*").alias("n"))
-    order = Window.orderBy("order", key)
-    ranked = ids.select(key, seeded(seed, key).alias("order")).withColumn("rank", F.row_number().over(order))
+    ranked = ranks(ids.select(key), seeded(seed, key), key).withColumn("rank", F.col("rank") + 1)
     cut = lambda share: F.floor(F.col("n") * F.lit(share))
     pool = F.when(F.col("rank") <= cut(test), "test").when(F.col("rank") <= cut(test) + cut(val), "val").otherwise("train")
-    return ranked.join(F.broadcast(n)).select(key, pool.alias("pool"))  # n is one row; ids are problems, a small dimension
+    return ranked.join(F.broadcast(n)).select(key, pool.alias("pool"))  # n is one row
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "number") -> DataFrame:

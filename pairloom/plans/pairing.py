@@ -113,13 +113,13 @@ def w4(t: Tables) -> DataFrame:
 
 @query("w5_numbering", f"SELECT doc_id, printf('%s_%06d', lang, row_number() OVER (PARTITION BY lang ORDER BY {rank_sql('n', 'doc_id')}, doc_id) - 1) AS pair_id FROM documents")
 def w5(t: Tables) -> DataFrame:
-    done = sampling.numbered(t.documents.select("doc_id", "lang"), ["lang"], [sampling.seeded("n", "doc_id"), F.col("doc_id")])
-    return done.select("doc_id", F.format_string("%s_%06d", "lang", "number").alias("pair_id"))
+    done = sampling.ranks(t.documents.select("doc_id", "lang"), sampling.seeded("n", "doc_id"), "doc_id", group=["lang"])
+    return done.select("doc_id", F.format_string("%s_%06d", "lang", "rank").alias("pair_id"))
 
 
 @query("w6_shuffle", f"SELECT doc_id, row_number() OVER (ORDER BY {rank_sql('42', 'doc_id')}, doc_id) - 1 AS place FROM documents")
 def w6(t: Tables) -> DataFrame:
-    return pairs.ranks(t.documents.select("doc_id"), sampling.seeded(42, "doc_id"), "doc_id").select("doc_id", F.col("rank").alias("place"))
+    return sampling.ranks(t.documents.select("doc_id"), sampling.seeded(42, "doc_id"), "doc_id").select("doc_id", F.col("rank").alias("place"))
 
 
 @query("w8_languages_by_count", "SELECT lang, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lang) AS place FROM documents GROUP BY lang")
@@ -142,8 +142,9 @@ def w9(t: Tables) -> DataFrame:
 
 @query("w13_first_seen", "SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1 AS first_seen FROM documents")
 def w13(t: Tables) -> DataFrame:
-    seen = Window.partitionBy("digest").orderBy("doc_id")
-    return t.documents.select("doc_id", F.md5("text").alias("digest")).select("doc_id", (F.row_number().over(seen) == 1).alias("first_seen"))
+    """The first ids meet documents by id, so that copies of one text are never gathered."""
+    first = t.documents.groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
+    return t.documents.select("doc_id").join(first, "doc_id", "left").select("doc_id", F.coalesce("first", F.lit(False)).alias("first_seen"))
 
 
 @query("w15_zero_shot_mix", "SELECT * FROM (SELECT doc_id, 'sd' AS split FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 100) UNION ALL SELECT * FROM (SELECT doc_id, 'dd' AS split FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 100)")
@@ -154,12 +155,12 @@ def w15(t: Tables) -> DataFrame:
 
 @query("j1_positive_pairs", f"WITH {SUBS}, {A1}, {B1} {met_sql('a1', 'b1', 'NULL::VARCHAR', 'true', 'true')}")
 def j1(t: Tables) -> DataFrame:
-    return pairs.positives(t.gated(), "en", "fr").select(COLUMNS)
+    return pairs.positives(t.measured(), "en", "fr").select(COLUMNS)
 
 
 @query("j2_hard_negatives", f"WITH {SUBS}, {A1}, {B1}, {A0}, {B0} {HARD}")
 def j2(t: Tables) -> DataFrame:
-    return pairs.hard_negatives(t.gated(), "en", "fr").select(COLUMNS)
+    return pairs.hard_negatives(t.measured(), "en", "fr").select(COLUMNS)
 
 
 @query(
@@ -168,12 +169,12 @@ def j2(t: Tables) -> DataFrame:
 SELECT DISTINCT d.submission_id AS submission_id1, r.submission_id AS submission_id2, d.problem_id AS problem_id1, r.problem_id AS problem_id2 FROM draws d JOIN rights r ON r.r = d.h % r.many WHERE d.problem_id <> r.problem_id""",
 )
 def j3(t: Tables) -> DataFrame:
-    return pairs.easy_negatives(t.gated(), "en", "fr").select("submission_id1", "submission_id2", "problem_id1", "problem_id2")
+    return pairs.easy_negatives(t.measured(), "en", "fr").select("submission_id1", "submission_id2", "problem_id1", "problem_id2")
 
 
 @query("j_mixed_pairs")
 def mixed(t: Tables) -> DataFrame:
-    return pairs.pair_records(pairs.mixed_pairs(t.gated(), "en", "fr", 200, "en_fr_train"))
+    return pairs.pair_records(pairs.mixed_pairs(t.measured(), "en", "fr", 200, "en_fr_train"))
 
 
 @query(
@@ -182,7 +183,7 @@ def mixed(t: Tables) -> DataFrame:
 FROM a1 a JOIN b1 b ON a.problem_id = b.problem_id""",
 )
 def p4(t: Tables) -> DataFrame:
-    made = pairs.pair_records(pairs.positives(t.gated(), "en", "fr").withColumn("pair_id", F.lit("x")).withColumn("label", F.lit(1)))
+    made = pairs.pair_records(pairs.positives(t.measured(), "en", "fr").withColumn("pair_id", F.lit("x")).withColumn("label", F.lit(1)))
     return made.select(F.col("code1.submission_id").cast("long").alias("sid1"), F.col("code2.submission_id").cast("long").alias("sid2"), F.col("code1.rel_path").alias("rel_path1"), F.col("code2.image_rel_path").alias("image_rel_path2"))
 
 
@@ -203,14 +204,13 @@ def j5(t: Tables) -> DataFrame:
 SELECT submission_id1, submission_id2 FROM p WHERE submission_id1 % 5 <> 0 AND submission_id2 % 5 <> 0""",
 )
 def j6(t: Tables) -> DataFrame:
-    found = pairs.positives(t.gated(), "en", "fr").withColumn("pair_id", F.concat_ws("_", "submission_id1", "submission_id2"))
+    found = pairs.positives(t.measured(), "en", "fr").withColumn("pair_id", F.concat_ws("_", "submission_id1", "submission_id2"))
     train = t.documents.where("doc_id % 5 = 0").select(F.col("doc_id").alias("submission_id"))
     return pairs.drop_either_side(found, train).select("submission_id1", "submission_id2")
 
 
 def lines_of(t: Tables, lang: str, name: str) -> DataFrame:
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    return t.documents.where(F.col("lang") == lang).select((F.row_number().over(w) - 1).cast("long").alias("line_no"), F.col("doc_id").alias(name))
+    return sampling.ranks_by_id(t.documents.where(F.col("lang") == lang).select("doc_id"), "doc_id").select(F.col("rank").cast("long").alias("line_no"), F.col("doc_id").alias(name))
 
 
 LINED = "e AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id FROM documents WHERE lang = 'en'), f AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id FROM documents WHERE lang = 'fr')"
@@ -221,16 +221,6 @@ def j9(t: Tables) -> DataFrame:
     return pairs.by_position(lines_of(t, "en", "l"), lines_of(t, "fr", "r"))
 
 
-@query("j10_offset_negatives", f"WITH {LINED} SELECT e.doc_id AS l, f.doc_id AS r FROM e JOIN f ON f.i = (e.i + 20 // 3) % 20 WHERE e.i < 20")
-def j10(t: Tables) -> DataFrame:
-    return pairs.offset_negatives(lines_of(t, "en", "l").where("line_no < 20"), lines_of(t, "fr", "r"), 20).select("l", "r")
-
-
-@query("j11_ordered_negatives", f"WITH {LINED} SELECT e.doc_id AS l, f.doc_id AS r FROM e JOIN f ON e.i <> f.i WHERE e.i < 12 AND f.i < 12 ORDER BY e.i, f.i LIMIT 100")
-def j11(t: Tables) -> DataFrame:
-    return pairs.ordered_negatives(lines_of(t, "en", "l"), lines_of(t, "fr", "r"), 12, 100).select("l", "r")
-
-
 ALIGNED = f"{LINED}, n AS (SELECT count(*) AS n FROM e JOIN f USING (i))"
 
 
@@ -239,15 +229,15 @@ def aligned(t: Tables) -> int:
     return pairs.by_position(lines_of(t, "en", "l"), lines_of(t, "fr", "r")).count()
 
 
-@query("j10_offset_negatives_whole", f"WITH {ALIGNED} SELECT e.doc_id AS l, f.doc_id AS r FROM (SELECT e.*, n, (e.i + n // 3) % n AS j FROM e, n WHERE e.i < n) e JOIN f ON f.i = CASE WHEN e.j = e.i THEN (e.i + 1) % n ELSE e.j END")
-def j10_whole(t: Tables) -> DataFrame:
+@query("j10_offset_negatives", f"WITH {ALIGNED} SELECT e.doc_id AS l, f.doc_id AS r FROM (SELECT e.*, n, (e.i + n // 3) % n AS j FROM e, n WHERE e.i < n) e JOIN f ON f.i = CASE WHEN e.j = e.i THEN (e.i + 1) % n ELSE e.j END")
+def j10(t: Tables) -> DataFrame:
     """j10 over all aligned rows."""
     n = aligned(t)
     return pairs.offset_negatives(lines_of(t, "en", "l").where(F.col("line_no") < n), lines_of(t, "fr", "r"), max(n, 1)).select("l", "r")
 
 
-@query("j11_ordered_negatives_whole", f"WITH {ALIGNED} SELECT e.doc_id AS l, f.doc_id AS r FROM e JOIN f ON e.i <> f.i, n WHERE e.i < n AND f.i < n ORDER BY e.i, f.i LIMIT 1000")
-def j11_whole(t: Tables) -> DataFrame:
+@query("j11_ordered_negatives", f"WITH {ALIGNED} SELECT e.doc_id AS l, f.doc_id AS r FROM e JOIN f ON e.i <> f.i, n WHERE e.i < n AND f.i < n ORDER BY e.i, f.i LIMIT 1000")
+def j11(t: Tables) -> DataFrame:
     """j11 over all aligned rows; only the pairs are limited, as in the reference."""
     return pairs.ordered_negatives(lines_of(t, "en", "l"), lines_of(t, "fr", "r"), aligned(t), 1000).select("l", "r")
 
@@ -267,10 +257,21 @@ def j12(t: Tables) -> DataFrame:
 
 @query("j13_within_problem", f"WITH {SUBS}, {A1}, {B1} SELECT a.submission_id AS submission_id1, b.submission_id AS submission_id2 FROM a1 a JOIN b1 b USING (problem_id) WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE toxic = 1 AND l.doc_id IN (a.submission_id, b.submission_id))")
 def j13(t: Tables) -> DataFrame:
-    found = pairs.positives(t.gated(), "en", "fr").withColumn("pair_id", F.concat_ws("_", "submission_id1", "submission_id2"))
+    found = pairs.positives(t.measured(), "en", "fr").withColumn("pair_id", F.concat_ws("_", "submission_id1", "submission_id2"))
     return pairs.drop_either_side(found, t.labels.where("toxic = 1").select(F.col("doc_id").alias("submission_id"))).select("submission_id1", "submission_id2")
 
 
+@query(
+    "j13_early_stop",
+    f"""WITH {SUBS}, {A1}, {B1}, used AS (SELECT doc_id FROM labels WHERE toxic = 1)
+SELECT a.submission_id AS submission_id1, b.submission_id AS submission_id2 FROM a1 a JOIN b1 b USING (problem_id)
+WHERE a.submission_id NOT IN (FROM used) AND b.submission_id NOT IN (FROM used) ORDER BY {rank_sql("w", "a.submission_id", "b.submission_id")}, 1, 2 LIMIT 30""",
+)
+def j13_early(t: Tables) -> DataFrame:
+    found = pairs.positives(t.measured(), "en", "fr")
+    return pairs.within_problem(found, t.labels.where("toxic = 1").select(F.col("doc_id").alias("submission_id")), 10, "w").select("submission_id1", "submission_id2")
+
+
 @query("j14_pool_membership", f"WITH p AS (SELECT source, row_number() OVER (ORDER BY {rank_sql('42', 'source')}, source) AS r FROM (SELECT DISTINCT source FROM documents)) SELECT doc_id FROM documents JOIN p USING (source) WHERE r > 3")
 def j14(t: Tables) -> DataFrame:
     pools = sampling.pool_split(t.documents.select("source").distinct(), "source")
@@ -338,6 +339,6 @@ def k8(t: Tables) -> DataFrame:
 
 @query("b3_leakage_audit", f"WITH {SUBS}, {A1}, {B1}, {A0}, {B0}, p AS ({met_sql('a1', 'b1', 'NULL', 'true', 'true')} UNION ALL {HARD}) SELECT CASE WHEN neg_type IS NULL THEN 1 ELSE 0 END AS label, problem_id1 = problem_id2 AS same_problem, count(*) AS n FROM p GROUP BY ALL")
 def leakage(t: Tables) -> DataFrame:
-    subs = t.gated()
+    subs = t.measured()
     both = pairs.positives(subs, "en", "fr").unionByName(pairs.hard_negatives(subs, "en", "fr"))
     return both.groupBy(F.col("neg_type").isNull().cast("int").alias("label"), (F.col("problem_id1") == F.col("problem_id2")).alias("same_problem")).agg(F.count("*").alias("n"))

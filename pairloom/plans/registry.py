@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
+from pairloom.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +37,12 @@ class Tables:
         """Submissions within the limits on lines; the limit on width is off, as prose has long lines."""
         return self.submissions().where(text.length_gate(F.col("n_lines"), widest_line=None))
 
+    def measured(self) -> DataFrame:
+        """gated() as a table of six narrow columns, for plans that read it more than once: texts are measured once."""
+        path = sinks.scratch(self.spark, "measured")
+        self.gated().where("status is not null").select("lang", "problem_id", "submission_id", "n_lines", "max_chars", "status").write.parquet(path)
+        return self.spark.read.parquet(path)
+
 
 def query(name: str, sql: str | None = None) -> Callable:
     """Register a function of Tables as a query, with its SQL."""
@@ -70,3 +77,18 @@ def normal_sql(column: str, comments: bool = True) -> str:
 
 def column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+def shingles_sql(s: str) -> str:
+    """The distinct substrings of five characters of a list of characters."""
+    return f"list_distinct(list_transform(range(1, greatest(len({s}) - 3, 1)), lambda i: {s}[i] || {s}[i+1] || {s}[i+2] || {s}[i+3] || {s}[i+4]))"
+
+
+def signature_sql(rows: str, key: str, n: int) -> str:
+    """CTEs g (key, list of shingles), sig (key, i, v) and bands (key, band, band_key) over rows (key, s)."""
+    return f"""g AS (SELECT {key}, {shingles_sql("c")} AS g FROM (SELECT {key}, string_split(s, '') AS c FROM {rows})),
+h AS (SELECT {key}, ('0x' || substr(md5(u), 1, 8))::BIGINT % 2147483647 AS h FROM (SELECT {key}, unnest(g) AS u FROM g)),
+p AS (SELECT range AS i, ('0x' || substr(md5('a:' || range), 1, 8))::BIGINT % 2147483646 + 1 AS a, ('0x' || substr(md5('b:' || range), 1, 8))::BIGINT % 2147483647 AS b FROM range({n})),
+m AS (SELECT {key}, i, min((h * a + b) % 2147483647) AS v FROM h, p GROUP BY ALL),
+sig AS (SELECT d.{key}, d.i, coalesce(v, 2147483647) AS v FROM (SELECT {key}, range AS i FROM {rows}, range({n})) d LEFT JOIN m ON m.{key} = d.{key} AND m.i = d.i),
+bands AS (SELECT {key}, i // 8 AS band, md5(string_agg(v::VARCHAR, ',' ORDER BY i)) AS band_key FROM sig GROUP BY ALL)"""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
-from pairloom.operators import dedup, metrics, parsing, prompts
-from pairloom.plans.registry import LINES, SUBS, WIDEST, Tables, normal_sql, query
+from pairloom.operators import dedup, metrics, parsing, prompts, sampling
+from pairloom.plans.registry import LINES, SUBS, WIDEST, Tables, normal_sql, query, signature_sql
 
 B_SQL = "CASE WHEN n BETWEEN 1 AND 15 THEN 0 WHEN n BETWEEN 16 AND 30 THEN 1 WHEN n BETWEEN 31 AND 50 THEN 2 ELSE 3 END"
 C = F.col
@@ -45,22 +45,17 @@ def _normal(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "lang", text.normalize(C("text")).alias("s"))
 
 
-@query(
-    "f6_minhash",
-    f"""WITH {SHINGLED}, c AS (SELECT doc_id, string_split(s, '') AS c FROM n), g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(c) - 3, 1)), lambda i: c[i] || c[i+1] || c[i+2] || c[i+3] || c[i+4]))) AS g FROM c),
-h AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 8))::BIGINT % 2147483647 AS h FROM g),
-p AS (SELECT range AS i, ('0x' || substr(md5('a:' || range), 1, 8))::BIGINT % 2147483646 + 1 AS a, ('0x' || substr(md5('b:' || range), 1, 8))::BIGINT % 2147483647 AS b FROM range(8)),
-m AS (SELECT doc_id, i, min((h * a + b) % 2147483647) AS v FROM h, p GROUP BY ALL)
-SELECT d.doc_id, i AS place, coalesce(v, 2147483647) AS value FROM (SELECT doc_id, range AS i FROM documents, range(8)) d LEFT JOIN m USING (doc_id, i)""",
-)
+SIGNED = f"{SHINGLED}, {signature_sql('n', 'doc_id', 128)}"
+
+
+@query("f6_minhash", f"WITH {SIGNED} SELECT doc_id, i AS place, v AS value FROM sig")
 def f6(t: Tables) -> DataFrame:
-    return dedup.minhash(_normal(t), "doc_id", "s", 8).select("doc_id", F.posexplode("signature").alias("place", "value"))
+    return _signed(t).select("doc_id", F.posexplode("signature").alias("place", "value"))
 
 
-@query("f6_minhash_128")
-def f6_128(t: Tables) -> DataFrame:
-    """f6 with all permutations; its SQL would make 128 rows of each shingle, so a test holds it against brute force."""
-    return dedup.minhash(_normal(t), "doc_id", "s").select("doc_id", F.posexplode("signature").alias("place", "value"))
+@query("f7_band_keys", f"WITH {SIGNED} SELECT doc_id, band, band_key FROM bands")
+def f7(t: Tables) -> DataFrame:
+    return dedup.banded(_signed(t), "doc_id")
 
 
 def _signed(t: Tables) -> DataFrame:
@@ -83,7 +78,11 @@ def _candidates(docs: DataFrame) -> DataFrame:
     return dedup.candidates(left, right, "test_id", "train_id")
 
 
-@query("j7_lsh_candidates")
+FIRST = f"""{SHINGLED}, first AS (SELECT md5(s) AS digest, doc_id % 2 AS side, min(doc_id) AS doc_id FROM n GROUP BY ALL), r AS (SELECT doc_id, s FROM first JOIN n USING (doc_id)), {signature_sql('r', 'doc_id', 128)},
+met AS (SELECT DISTINCT a.doc_id AS test_id, b.doc_id AS train_id FROM bands a JOIN bands b ON a.band = b.band AND a.band_key = b.band_key WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1)"""
+
+
+@query("j7_lsh_candidates", f"WITH {FIRST} SELECT test_id, train_id FROM met")
 def j7(t: Tables) -> DataFrame:
     """Pairs of texts across the sides, each named by its smallest document there; j7_membership names the others."""
     return _candidates(_distinct_texts(t))
@@ -96,7 +95,12 @@ def j7_membership(t: Tables) -> DataFrame:
     return docs.join(docs.groupBy("digest", "side").agg(F.min("doc_id").alias("first_id")), ["digest", "side"]).select("doc_id", "side", "first_id")
 
 
-@query("j8_contaminated")
+@query(
+    "j8_contaminated",
+    f"""WITH {FIRST}, sim AS (SELECT test_id, train_id, CASE WHEN len(x.g) = 0 AND len(y.g) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(x.g, y.g))::DOUBLE / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) END AS similarity FROM met JOIN g x ON x.doc_id = test_id JOIN g y ON y.doc_id = train_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY similarity DESC, train_id) AS k FROM sim)
+SELECT n.doc_id AS test_id, similarity, train_id AS best FROM best JOIN first f ON f.doc_id = test_id JOIN n ON md5(n.s) = f.digest AND n.doc_id % 2 = 0 WHERE k = 1 AND similarity > 0.7""",
+)
 def j8(t: Tables) -> DataFrame:
     """Every contaminated test document, copies included; best is the smallest train document of the most similar text."""
     docs = _distinct_texts(t)
@@ -117,7 +121,7 @@ def u3(t: Tables) -> DataFrame:
     return s.join(s.select((C("item_id") - 1).alias("item_id"), C("s").alias("s2")), "item_id").select("item_id", F.round(text.jaccard(C("s"), C("s2")), 6).alias("j"))
 
 
-@query("f8_signature_agreement")
+@query("f8_signature_agreement", f"WITH t AS (SELECT item_id, text AS s FROM benchmark), {signature_sql('t', 'item_id', 128)} SELECT a.item_id, count(*) FILTER (a.v = b.v) / 128.0::DOUBLE AS agreement FROM sig a JOIN sig b ON b.item_id = a.item_id + 1 AND a.i = b.i GROUP BY 1")
 def f8(t: Tables) -> DataFrame:
     s = dedup.minhash(t.benchmark, "item_id", "text")
     return s.join(s.select((C("item_id") - 1).alias("item_id"), C("signature").alias("s2")), "item_id").select("item_id", dedup.agreement(C("signature"), C("s2")).alias("agreement"))
@@ -254,16 +258,9 @@ def f27(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(text.xml_escape(C("html"))).alias("digest"))
 
 
-@query("f28_numbering", "SELECT doc_id, md5(split_part(text, chr(10), 1)) AS digest FROM documents")
+@query("f28_numbering", r"SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '```(cpp|c\+\+|c\b)?', '')), chr(10))) AS digest FROM documents")
 def f28(t: Tables) -> DataFrame:
-    first = F.substring_index("text", "\n", 1)
-    line = F.concat((C("doc_id") % 10 + 1).cast("string"), F.lit(")"), first)
-    return t.documents.select("doc_id", F.md5(text.strip_numbering(line)).alias("digest"))
-
-
-@query("f28_numbering_whole", r"SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '```(cpp|c\+\+|c\b)?', '')), chr(10))) AS digest FROM documents")
-def f28_whole(t: Tables) -> DataFrame:
-    """f28 over every line of the text."""
+    """Every line of the text with a number before it, stripped of it."""
     number = F.concat((C("doc_id") % 10 + 1).cast("string"), F.lit(")"))
     stripped = F.transform(F.split("text", "\n", -1), lambda line: text.strip_numbering(F.concat(number, line)))
     return t.documents.select("doc_id", F.md5(F.array_join(stripped, "\n")).alias("digest"))
@@ -442,10 +439,12 @@ def a13(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id").distinct()
 
 
-@query("a14_group_lists", "SELECT source, count(*) AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+@query("a14_group_lists", "WITH r AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 1000 AS part FROM documents) SELECT source, part, count(*) AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest FROM r GROUP BY ALL")
 def a14(t: Tables) -> DataFrame:
-    listed = t.documents.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return listed.select("source", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(C("ids").cast("array<string>"), ",")).alias("digest"))
+    """The ids of each group, in lists of a thousand at most: a group may hold a third of all rows."""
+    ranked = sampling.ranks_by_id(t.documents.select("source", "doc_id"), "doc_id", ["source"])
+    listed = ranked.groupBy("source", F.floor(C("rank") / 1000).alias("part")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    return listed.select("source", "part", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(C("ids").cast("array<string>"), ",")).alias("digest"))
 
 
 @query("a15_status_prefix", "SELECT split_part(url, ':', 1) AS status, count(*) AS n FROM pages GROUP BY 1")

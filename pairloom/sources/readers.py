@@ -7,11 +7,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
 
+#: The columns of metadata, and the rules of validation texts.
 METADATA = "submission_id string, language string, status string, filename_ext string, code_size string"
 RULE, BAR = "$" * 40, "-" * 40
 
@@ -47,6 +48,18 @@ def read_split_tree(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("lang_pair", part("lang_pair")).withColumn("split", part("split"))
 
 
+#: The split that each file name stands for.
+SPLITS = {"train_a.jsonl": "train_a", "train_b.jsonl": "train_b", "val.jsonl": "val", "test_sd.jsonl": "test_sd", "test_dd.jsonl": "test_dd"}
+
+
+def read_split_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of {lang_pair}/{name}.jsonl (files, or folders of parts); other names than those of SPLITS are passed over."""
+    rows = spark.read.option("recursiveFileLookup", "true").json(path, schema=schema)
+    part = lambda n: F.regexp_extract("_metadata.file_path", r"([^/]+)/([^/]+\.jsonl)(?:/part-[^/]*)?$", n)
+    names = F.create_map(*[F.lit(x) for pair in SPLITS.items() for x in pair])
+    return rows.withColumn("lang_pair", part(1)).withColumn("split", F.try_element_at(names, part(2))).where("split is not null")
+
+
 def read_zipped(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
     """(path, member, text) of archives' text members."""
 
@@ -68,9 +81,17 @@ def clone_blocks(said: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, text) of one file, numbered from 0 in order."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(text.lines(F.col("value"))).alias("line_no", "text")).select(F.col("line_no").cast("long").alias("line_no"), "text")
+    """(line_no, text) of a file, or of a folder's files by name, numbered from 0 in order; no task holds a whole file.
+
+    Lines are numbered within their split, and splits by file and offset; the offsets are one small row per split.
+    """
+    at = ["_metadata.file_path", "_metadata.file_block_start"]
+    rows = spark.read.text(path).select(F.col("value").alias("text"), *(F.col(c).alias(n) for c, n in zip(at, ("file", "start"))), F.monotonically_increasing_id().alias("order"))
+    sizes = rows.groupBy("file", "start").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("file", "start").orderBy("order")) - 1
+    numbered = rows.withColumn("within", within).join(F.broadcast(sizes.select("file", "start", before.alias("before"))), ["file", "start"])
+    return numbered.select((F.col("before") + F.col("within")).alias("line_no"), "text")
 
 
 def read_aligned(spark: SparkSession, left: str, right: str) -> DataFrame:
@@ -106,3 +127,14 @@ def read_metric_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def list_files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(path, length) of the files that a pattern names; contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length")
+
+
+def read_summary(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A summary document, an array of objects over several lines."""
+    return spark.read.json(path, schema=schema, multiLine=True)
+
+
+def folder_counts(files: DataFrame, depth: int = 2) -> DataFrame:
+    """Files and bytes of listed files (path, length) by the `depth` folders above each."""
+    folders = F.slice(F.split(F.col("path"), "/"), -(depth + 1), depth)
+    return files.groupBy(*(F.url_decode(F.get(folders, F.lit(i))).alias(f"folder{i + 1}") for i in range(depth))).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))

@@ -6,7 +6,7 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
@@ -14,8 +14,12 @@ from pairloom.sources.readers import BAR, RULE
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; a local one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pairloom-")
+    """A fresh path in the folder that all executors share, from spark.checkpoint.dir; without one, a local folder on a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="pairloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,9 +30,15 @@ def write_metadata(subs: DataFrame, path: str) -> None:
 
 
 def write_jsonl(df: DataFrame, path: str) -> int:
-    """JSON lines; the number of rows."""
-    df.write.option("ignoreNullFields", "false").json(path)
-    return df.sparkSession.read.text(path).count()
+    """JSON lines; the number of rows, counted as they are written."""
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("n")).write.option("ignoreNullFields", "false").json(path)
+    return seen.get["n"]
+
+
+def write_metrics(df: DataFrame, path: str) -> None:
+    """Metrics as JSON, a document a file, nulls kept."""
+    df.write.option("ignoreNullFields", "false").option("maxRecordsPerFile", 1).json(path)
 
 
 def fan_out(df: DataFrame, path: str, *keys: str) -> None:
@@ -36,9 +46,9 @@ def fan_out(df: DataFrame, path: str, *keys: str) -> None:
     df.repartition(*keys).write.partitionBy(*keys).json(path)
 
 
-def write_kept(df: DataFrame, kept: DataFrame, key: str, path: str) -> None:
-    """The rows whose key is kept, as they are."""
-    df.join(kept.select(key).distinct(), key, "left_semi").write.parquet(path)
+def write_kept(lines: DataFrame, kept: DataFrame, key: str, path: str) -> None:
+    """The lines (value, key) whose key is kept, byte for byte."""
+    lines.join(kept.select(key).distinct(), key, "left_semi").select("value").write.text(path)
 
 
 def missing(df: DataFrame, written: DataFrame, key: str) -> DataFrame:
@@ -53,6 +63,19 @@ def rewrite(df: DataFrame, path: str) -> str:
     return new
 
 
+def swap(spark: SparkSession, new: str, path: str) -> None:
+    """new in the place of path: the old version is renamed away first and deleted last, so one whole version is always there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    old, target, source = hadoop(f"{path.rstrip('/')}-old-{uuid.uuid4().hex}"), hadoop(path), hadoop(new)
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} could not be renamed")
+    if not fs.rename(source, target):
+        fs.rename(old, target)
+        raise OSError(f"{new} could not be renamed")
+    fs.delete(old, True)
+
+
 def append_text(lines: DataFrame, path: str) -> None:
     lines.select("value").write.mode("append").text(path)
 
@@ -68,13 +91,17 @@ def clone_element(similarity: Column, *files: Column) -> Column:
     return F.concat(F.lit('<clone similarity="'), similarity.cast("string"), F.lit('">'), *sources, F.lit("</clone>"))
 
 
-def write_clones(elements: DataFrame, path: str) -> None:
-    """A report for each partition; an empty report is an error."""
-    if elements.isEmpty():
+def write_clones(clones: DataFrame, path: str) -> None:
+    """A clone report of (similarity, files), names escaped by the writer; an empty report is an error."""
+    if clones.isEmpty():
         raise ValueError("a clone report needs a clone")
-    elements.groupBy(F.spark_partition_id().alias("p")).agg(F.concat(F.lit("<clones>"), F.array_join(F.collect_list("value"), "\n"), F.lit("</clones>")).alias("value")).select("value").write.text(path)
+    source = F.transform("files", lambda f: F.struct(F.lit("").alias("_VALUE"), f.alias("_file"), F.lit(1).alias("_startline"), F.lit(1).alias("_endline")))
+    clones.select(F.col("similarity").alias("_similarity"), source.alias("source")).write.format("xml").option("rootTag", "clones").option("rowTag", "clone").save(path)
 
 
-def small_document(df: DataFrame, indent: int = 2) -> str:
-    """A small aggregate as a JSON document."""
-    return json.dumps([r.asDict(recursive=True) for r in df.collect()], indent=indent, ensure_ascii=False)
+def small_document(df: DataFrame, indent: int = 2, most: int = 10_000) -> str:
+    """A small aggregate as a JSON document; more than `most` rows are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"an aggregate of over {most} rows is no small document")
+    return json.dumps([r.asDict(recursive=True) for r in rows], indent=indent, ensure_ascii=False)

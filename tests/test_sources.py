@@ -45,11 +45,12 @@ def test_sources_and_aligned(spark, tmp_path):
 
 def test_clone_report(spark, tmp_path):
     df = spark.createDataFrame([(80, "a&b.py", "c.py")], "s int, a string, b string")
-    sinks.write_clones(df.select(sinks.clone_element(F.col("s"), F.col("a"), F.col("b")).alias("value")), f"file://{tmp_path}/c")
+    sinks.write_clones(df.select(F.col("s").alias("similarity"), F.array("a", "b").alias("files")), f"file://{tmp_path}/c")
     row = readers.read_clones(spark, f"file://{tmp_path}/c").first()
     assert row.similarity == 80 and row.files == ["a&b.py", "c.py"]
     with pytest.raises(ValueError):
-        sinks.write_clones(df.where("false").select(F.lit("").alias("value")), f"file://{tmp_path}/d")
+        sinks.write_clones(df.where("false").select(F.col("s").alias("similarity"), F.array("a").alias("files")), f"file://{tmp_path}/d")
+    assert df.select(sinks.clone_element(F.col("s"), F.col("a")).alias("x")).first().x == '<clone similarity="80"><source file="a&amp;b.py" startline="1" endline="1"></source></clone>'
 
 
 def test_metric_files_last_wins(spark, tmp_path):
