@@ -36,6 +36,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents")).drop("digest", "found")
 
 
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op5 by kind, which SQL can express: its base rules without the method's spans."""
+    return op5_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.BASE))
+
+
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The resampled documents: doc_id, log_weight, rank_key."""
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -72,7 +77,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_flac": op9_flac,
     "op10_bpe": op10_bpe,
+    "pii_base_counts": pii_base_counts,
 }
 
+DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+#: Luhn's sum of a string of digits d: every second one from the right counts twice, less nine from ten on.
+LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN d[i]::INT WHEN d[i]::INT > 4 THEN 2 * d[i]::INT - 9 ELSE 2 * d[i]::INT END))"
+
 #: DuckDB SQL where it can express a query; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "pii_base_counts": rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents)
+SELECT doc_id, len(regexp_extract_all(s, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email,
+len(list_filter(regexp_extract_all(s, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: list_max(list_transform(string_split(x, '.'), lambda p: coalesce(TRY_CAST(p AS BIGINT), 256))) <= 255))::BIGINT AS n_ip,
+len(list_filter(list_transform(list_filter(list_transform(regexp_extract_all(s, '[0-9]([ -]?[0-9])+'), lambda x: {DIGITS}), lambda d: length(d) BETWEEN 14 AND 19), lambda d: {LUHN} % 10 = 0), lambda fine: fine))::BIGINT AS n_card,
+len(list_filter(regexp_extract_all(s, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: length({DIGITS}) BETWEEN 10 AND 15))::BIGINT AS n_phone FROM t""",
+}
