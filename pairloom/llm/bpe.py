@@ -9,7 +9,9 @@ The vocabulary is read from a tokenizer file given by a parameter. The pre-token
 file: special strings are cut out first, then NFC, runs of white space to one blank, lower case by code
 point, and the pieces that the file's pattern matches; each piece's UTF-8 bytes end in a word-end mark.
 
-Null and empty texts have no tokens; the decoded text is then empty. Extra columns are ignored.
+Null and empty texts have no tokens; the decoded text is then empty. Long texts are encoded whole. Of equal ranks
+the leftmost pair merges first, so there are no ties. Repeated rows are encoded alike and returned as often. An
+empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -59,7 +59,7 @@ def test_kth_largest(spark):
 
 @pytest.mark.parametrize("labelled", [[], [(3, 0)], [(3, 1), (4, 0), (None, 1), (5, None), (6, 9), (3, 1)]])
 def test_odd_rows(spark, labelled):
-    labels = spark.createDataFrame(labelled, "doc_id long, quality int")
+    labels = spark.createDataFrame(labelled, "doc_id long, quality int").selectExpr("*", "'x' as text", "1 as bucket", "2 as rank_key")
     got = importance.filtered(odd(spark), labels)
     assert got.columns == odd(spark).columns and set(CLASHING) < set(got.columns)
     assert got.count() == len(odd_rows()) if len(labelled) < 2 else got.count() > 0

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import random
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 from brute import brute_near
-from helpers import prose
+from helpers import odd, odd_rows, prose
 from test_contamination import least_edits
 from test_importance import brute_grams
 from test_pii import RULES, fine
@@ -89,3 +93,47 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert set(QUERIES) <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def write(spark, path, docs, labels=(), benchmark=()):
+    docs.write.parquet(f"file://{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").selectExpr("*", "'x' as text", "1 as rank_key").write.parquet(f"file://{path}/labels.parquet")
+    spark.createDataFrame(list(benchmark), "item_id long, text string").selectExpr("*", "1 as doc_id", "'y' as found").write.parquet(f"file://{path}/benchmark.parquet")
+    return f"file://{path}"
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls, empty, long and repeated rows, and columns that clash, in every stage; no labels, so that all stay at first."""
+    path = write(spark, tmp_path, odd(spark), benchmark=[(1, prose(3, 60)), (None, None), (2, "")])
+    kept_ids = brute_near({i: t or "" for i, t, *_ in odd_rows() if i is not None})
+    gone = {12}  # holds the item
+    rows = [r for r in odd_rows() if r[0] is None or (r[0] in kept_ids and r[0] not in gone)]
+    got = corpus_pipeline.run(spark, path).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = sorted((str(i), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
+
+
+def test_empty_tables(spark, tmp_path):
+    path = write(spark, tmp_path, odd(spark).where("false"))
+    assert corpus_pipeline.run(spark, path).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd(spark).where("false"), path).columns == odd(spark).columns
+
+
+def test_entry_hides_only_what_was_deleted(tmp_path):
+    """Without the package the entry works; with it but for something that it needs, the error is not swallowed."""
+    root = Path(__file__).resolve().parents[2]
+    shutil.copytree(root / "pairloom", tmp_path / "pairloom", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(root / name, tmp_path / name)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), sum(n.startswith('op') for n in e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
+    assert run().stdout.split()[1] == "10"
+    flac = (tmp_path / "pairloom/llm/flac.py").read_text()
+    (tmp_path / "pairloom/llm/flac.py").write_text(flac + "import no_such_library\n")
+    assert "no_such_library" in run().stderr and run().returncode
+    shutil.rmtree(tmp_path / "pairloom/llm")
+    assert run().stdout.split()[1] == "0"
+    (tmp_path / "corpus_pipeline.py").unlink()
+    assert run().stdout.split()[1] == "0"

@@ -128,6 +128,6 @@ def test_held_out_labels_are_never_used(spark):
 
 @pytest.mark.parametrize("labelled", [[], [(3, 1)], [(3, 1), (3, 0), (None, 1), (6, None), (7, 0), (8, 5)]])
 def test_odd_rows(spark, labelled):
-    labels = spark.createDataFrame(labelled, "doc_id long, toxic int")
+    labels = spark.createDataFrame(labelled, "doc_id long, toxic int").selectExpr("*", "'x' as text", "1 as keys", "2 as score")
     assert toxicity.scores(odd(spark), labels).count() == len(odd_rows())
     assert toxicity.scores(empty(spark), labels).count() == 0
