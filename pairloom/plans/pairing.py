@@ -172,9 +172,19 @@ def j3(t: Tables) -> DataFrame:
     return pairs.easy_negatives(t.measured(), "en", "fr").select("submission_id1", "submission_id2", "problem_id1", "problem_id2")
 
 
-@query("j_mixed_pairs")
+MIXED = f"""found AS (SELECT 'pos' AS kind, 1 AS label, submission_id1, submission_id2, neg_type, longest FROM ({met_sql("a1", "b1", "NULL::VARCHAR", "true", "true")})
+UNION ALL SELECT 'hard', 0, submission_id1, submission_id2, neg_type, longest FROM ({HARD})
+UNION ALL SELECT DISTINCT 'easy', 0, d.submission_id, r.submission_id, 'easy', greatest(d.n_lines, r.n_lines) FROM draws d JOIN rights r ON r.r = d.h % r.many WHERE d.problem_id <> r.problem_id),
+b AS (SELECT *, CASE WHEN longest BETWEEN 1 AND 15 THEN 0 WHEN longest BETWEEN 16 AND 30 THEN 1 WHEN longest BETWEEN 31 AND 50 THEN 2 ELSE 3 END AS bucket, md5(concat_ws(':', '42', kind, submission_id1, submission_id2)) AS o, CASE kind WHEN 'pos' THEN 100 ELSE 50 END AS most FROM found),
+k AS (SELECT *, row_number() OVER (PARTITION BY kind, bucket ORDER BY o, submission_id1, submission_id2) AS k FROM b),
+q AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN k > most // 4 THEN 1 ELSE 0 END, o, submission_id1, submission_id2) AS place FROM k),
+p AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY o, submission_id1, submission_id2) - 1 AS number FROM q WHERE place <= most)"""
+
+
+@query("j_mixed_pairs", f"WITH {SUBS}, {A1}, {B1}, {A0}, {B0}, {EASY}, {MIXED} SELECT printf('en_fr_train_%s_%06d', kind, number) AS pair_id, label, neg_type, submission_id1::VARCHAR AS sid1, submission_id2::VARCHAR AS sid2 FROM p")
 def mixed(t: Tables) -> DataFrame:
-    return pairs.pair_records(pairs.mixed_pairs(t.measured(), "en", "fr", 200, "en_fr_train"))
+    made = pairs.pair_records(pairs.mixed_pairs(t.measured(), "en", "fr", 200, "en_fr_train"))
+    return made.select("pair_id", "label", "neg_type", F.col("code1.submission_id").alias("sid1"), F.col("code2.submission_id").alias("sid2"))
 
 
 @query(

@@ -109,3 +109,44 @@ def test_parsing(spark):
     assert parsing.layout_python("") == parsing.layout_braces("  ") == ""
     docs = spark.createDataFrame([(1, "def a():\n  pass\n\n\ndef b():\n  pass"), (2, "def ("), (3, None)], "k int, code string")
     assert [(r.k, r.name, r.start, r.end) for r in parsing.python_functions(docs, "k", "code").collect()] == [(1, "a", 1, 2), (1, "b", 5, 6)]
+
+
+def test_layouts_of_tokens(spark):
+    """Marks count as whole tokens only; braces and semicolons end lines."""
+    rows = [
+        (1, "if x : NEW_LINE INDENT y = A_NEW_LINE_B NEW_LINE NEW_LINE DEDENT DEDENT z", True, "if x :\n    y = A_NEW_LINE_B\nz"),
+        (2, "def f : NEW_LINE INDENT return xNEW_LINE", True, "def f :\n    return xNEW_LINE"),
+        (3, "int f ( ) { x ; if ( y ) { z ; } } } w", False, "int f ( ) {\n    x ;\n    if ( y ) {\n        z ;\n    }\n}\n}\nw"),
+        (4, "", True, ""),
+        (5, None, False, ""),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "k int, tokens string, python boolean")
+    assert {r.k: r.code for r in parsing.laid_out(df, "k", "tokens", F.col("python")).collect()} == {r[0]: r[3] for r in rows}
+
+
+def test_ranks_by_parts(spark):
+    import hashlib
+    import random
+
+    r = random.Random(1)
+    keys = [r.randrange(-(1 << 62), 1 << 62) for _ in range(300)] + list(range(50))
+    df = spark.createDataFrame([(k, "a" if i % 3 else "b") for i, k in enumerate(keys)], "k long, g string")
+    assert {x.k: x.rank for x in sampling.ranks_by_id(df, "k").collect()} == {k: i for i, k in enumerate(sorted(keys))}
+    group = {k: "a" if i % 3 else "b" for i, k in enumerate(keys)}
+    for got, order in ((sampling.ranks_by_id(df, "k", ["g"]), lambda k: k), (sampling.ranks(df, sampling.seeded(7, "k"), "k", group=["g"]), lambda k: hashlib.md5(f"7:{k}".encode()).hexdigest())):
+        want = {k: i for g in "ab" for i, k in enumerate(sorted((k for k in keys if group[k] == g), key=order))}
+        assert {x.k: x["rank"] for x in got.collect()} == want
+    assert sampling.ranks_by_id(df.where("false"), "k").count() == 0
+
+
+def test_slots_and_replacements(spark):
+    clones = spark.createDataFrame([(i * 7,) for i in range(40)], "item_id long")
+    targets = spark.range(100).select(F.col("id").alias("slot"))
+    got = {r.item_id: r.slot for r in pairs.assign_slots(clones, targets, F.lit(1) + F.col("item_id") % 2, "item_id").collect()}
+    want, at = {}, 0
+    for i in range(40):
+        want[i * 7] = at
+        at += 1 + i * 7 % 2
+    assert got == {k: v for k, v in want.items() if v < 100}
+    failed, spare = (spark.createDataFrame([(x,) for x in some], "id long") for some in ([9, 3, 5], [2, 8]))
+    assert {(r.failed, r.spare, r.k) for r in pairs.zip_replacement(failed, spare, "id").collect()} == {(3, 2, 1), (5, 8, 2)}

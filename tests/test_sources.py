@@ -66,3 +66,46 @@ def test_incremental_probe(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, text string").parquet(f"file://{tmp_path}/in")
     incremental.watch(stream, f"file://{tmp_path}/i", f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination(120)
     assert [(r.doc_id, r.best) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [(7, 1)]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    (tmp_path / "b").write_text("".join(f"line {i}\n" for i in range(500)))
+    (tmp_path / "a").write_text("first\r\n\nthird")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = {r.line_no: r.text for r in readers.read_lines(spark, f"file://{tmp_path}").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == dict(enumerate(["first", "", "third", *(f"line {i}" for i in range(500))]))
+
+
+def test_split_files(spark, tmp_path):
+    for pair, name in (("a_b", "train_a.jsonl"), ("a_b", "val.jsonl"), ("c_d", "test_dd.jsonl"), ("c_d", "other.jsonl")):
+        (tmp_path / pair).mkdir(exist_ok=True)
+        (tmp_path / pair / name).write_text('{"x": 1}\n')
+    got = {(r.lang_pair, r.split) for r in readers.read_split_files(spark, f"file://{tmp_path}", "x int").collect()}
+    assert got == {("a_b", "train_a"), ("a_b", "val"), ("c_d", "test_dd")}
+
+
+def test_swap_replaces_a_table_that_is_read(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(5).write.parquet(path)
+    for n in (1, 2):
+        sinks.swap(spark, sinks.rewrite(spark.read.parquet(path).withColumn("id", F.col("id") + 10), path), path)
+        assert sorted(r.id for r in spark.read.parquet(path).collect()) == [10 * n + i for i in range(5)]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_small_documents_are_small(spark):
+    assert sinks.small_document(spark.range(2).selectExpr("id", "'é' as x")).count("é") == 2
+    with pytest.raises(ValueError):
+        sinks.small_document(spark.range(20), most=10)
+
+
+def test_shared_folders_only(spark):
+    class Elsewhere:
+        conf = {"spark.master": "yarn"}
+
+    with pytest.raises(ValueError, match="share"):
+        sinks.scratch(Elsewhere(), "x")
