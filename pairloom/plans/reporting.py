@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import text
 from pairloom.operators import dedup, metrics, parsing, prompts, sampling
-from pairloom.plans.registry import LINES, SUBS, WIDEST, Tables, normal_sql, query, signature_sql
+from pairloom.plans.registry import LINES, SUBS, WIDEST, Tables, normal_sql, query, shingles_sql, signature_sql
 
 B_SQL = "CASE WHEN n BETWEEN 1 AND 15 THEN 0 WHEN n BETWEEN 16 AND 30 THEN 1 WHEN n BETWEEN 31 AND 50 THEN 2 ELSE 3 END"
 C = F.col
@@ -110,6 +110,21 @@ def j8(t: Tables) -> DataFrame:
     return members.join(found, "test_id").select(C("member").alias("test_id"), "similarity", "best")
 
 
+@query(
+    "j8_exact_pairs",
+    f"""WITH {SHINGLED}, first AS (SELECT md5(s) AS digest, doc_id % 2 AS side, min(doc_id) AS doc_id FROM n GROUP BY ALL), g AS (SELECT doc_id, {shingles_sql("c")} AS g FROM (SELECT doc_id, string_split(s, '') AS c FROM first JOIN n USING (doc_id))),
+u AS (SELECT doc_id, unnest(g) AS h FROM g), i AS (SELECT a.doc_id AS test_id, b.doc_id AS train_id, count(*)::DOUBLE AS n FROM u a JOIN u b ON a.h = b.h WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 GROUP BY ALL),
+j AS (SELECT test_id, train_id, n / (len(x.g) + len(y.g) - n) AS similarity FROM i JOIN g x ON x.doc_id = test_id JOIN g y ON y.doc_id = train_id
+UNION ALL SELECT x.doc_id, y.doc_id, 1.0::DOUBLE FROM g x JOIN g y ON len(x.g) = 0 AND len(y.g) = 0 AND x.doc_id % 2 = 0 AND y.doc_id % 2 = 1)
+SELECT * FROM j WHERE similarity > 0.7""",
+)
+def j8_exact(t: Tables) -> DataFrame:
+    """All pairs of texts across the sides above the threshold, each text named by its smallest document there."""
+    docs = _distinct_texts(t)
+    sides = [docs.where(C("side") == n).select(C("doc_id").alias(f"{n}_id"), "s") for n in ("test", "train")]
+    return dedup.similar(*sides, "test_id", "train_id", "s")
+
+
 @query("j8_exact_copies", f"WITH {SHINGLED} SELECT md5(s) AS digest, count(*) AS n, min(doc_id) AS first_id FROM n GROUP BY ALL HAVING count(*) > 1")
 def j8_copies(t: Tables) -> DataFrame:
     return _normal(t).groupBy(F.md5("s").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")

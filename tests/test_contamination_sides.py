@@ -56,3 +56,19 @@ def test_j7_and_membership_hold_every_pair_across(spark, tables):
     assert sorted(x for m in members.values() for x in m) == sorted(texts)
     got = {(a, b) for r in catalog.QUERIES["j7_lsh_candidates"](spark, path).collect() for a in members[r.test_id] for b in members[r.train_id]}
     assert {(i, j) for i in texts for j in texts if i % 2 == 0 and j % 2 and texts[i] == texts[j]} <= got
+
+
+def test_exact_pairs_are_all_pairs(spark, tables):
+    path, texts = tables
+    first = {}
+    for i in sorted(texts):
+        first.setdefault((texts[i], i % 2), i)
+    want = {}
+    for (a, p), i in first.items():
+        for (b, q), j in first.items():
+            if p == 0 and q == 1:
+                s = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+                if s > 0.7:
+                    want[i, j] = round(s, 9)
+    got = {(r.test_id, r.train_id): round(r.similarity, 9) for r in catalog.QUERIES["j8_exact_pairs"](spark, path).collect()}
+    assert got == want and len(want) > 20
