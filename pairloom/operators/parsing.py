@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,6 +50,46 @@ def python_functions(docs: DataFrame, key: str, said: str) -> DataFrame:
     return docs.select(key, said).mapInArrow(run, f"{key} {kind}, name string, start int, end int")
 
 
+#: Comments and literals of the brace languages, and what stands before a block that is no function.
+MASKED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?", re.S)
+BLOCKS = frozenset("if for while switch catch foreach using lock synchronized do else try return new when fixed".split())
+SIGNATURE = re.compile(r"(?<!\w)(\w++)\s*+\([^()]*+\)[^()]*+\Z")
+
+
+def braced(code: str) -> list[tuple[str, int, int]]:
+    """(name, start, end) of the outermost functions of C, C#, C++ or Java code; lines from 1. One walk over braces."""
+    code = MASKED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+    out, depth, since, held, line, last = [], 0, 0, None, 1, 0
+    for m in re.finditer(r"[{};]", code):
+        line += code.count("\n", last, m.start())
+        last = m.start()
+        if m[0] == "{":
+            head = code[since : m.start()]
+            found = SIGNATURE.search(head) if held is None else None
+            if found and found[1] not in BLOCKS and not re.search(r"\b(?:class|struct|enum|interface|namespace|record)\b", head):
+                held = (found[1], line - head.lstrip().count("\n"), depth)
+            depth += 1
+        elif m[0] == "}":
+            depth = max(0, depth - 1)
+            if held and depth == held[2]:
+                out.append((held[0], held[1], line))
+                held = None
+        since = m.end()
+    return out
+
+
+def brace_functions(docs: DataFrame, key: str, said: str) -> DataFrame:
+    """(key, name, start, end) of the functions of brace languages."""
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, *f) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for f in braced(t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], b.schema.field(0).type), pa.array([r[1] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int32()) for i in (2, 3))], [key, "name", "start", "end"])
+
+    return docs.select(key, said).mapInArrow(run, f"{key} {kind}, name string, start int, end int")
+
+
 def layout_python(tokens: str) -> str:
     """Code from tokens with NEW_LINE, INDENT and DEDENT among them, each a whole token; empty lines are left out."""
     out, depth, words = [], 0, []

@@ -300,6 +300,14 @@ def f31(t: Tables) -> DataFrame:
     return parsing.python_functions(t.benchmark.select("item_id", code.alias("code")), "item_id", "code")
 
 
+@query("f31_brace_functions", "SELECT doc_id, 'f' || i AS name, 2 + i * 4 AS \"start\", 4 + i * 4 AS \"end\" FROM (SELECT doc_id, unnest(range(doc_id % 4)) AS i FROM documents)")
+def f31_braces(t: Tables) -> DataFrame:
+    """Classes of as many methods as the id says, with braces in comments and strings, and blocks that are no methods."""
+    method = lambda i: F.concat(F.lit("\n  public static int f"), i.cast("string"), F.lit("(int x)\n  { if (x > 0) { return 1; } // }\n    char c = '}'; String s = \"{\"; }\n"))
+    code = F.concat(F.lit("class A {"), F.array_join(F.transform(F.filter(F.sequence(F.lit(0).cast("long"), C("doc_id") % 4), lambda i: i < C("doc_id") % 4), method), ""), F.lit("}"))
+    return parsing.brace_functions(t.documents.select("doc_id", code.alias("code")), "doc_id", "code")
+
+
 @query("s14_f32_log_entries", "SELECT item_id, round(item_id / 10.0::DOUBLE, 6) AS loss, item_id::DOUBLE AS epoch FROM benchmark")
 def s14(t: Tables) -> DataFrame:
     from pairloom.sources.readers import log_entries

@@ -150,3 +150,20 @@ def test_slots_and_replacements(spark):
     assert got == {k: v for k, v in want.items() if v < 100}
     failed, spare = (spark.createDataFrame([(x,) for x in some], "id long") for some in ([9, 3, 5], [2, 8]))
     assert {(r.failed, r.spare, r.k) for r in pairs.zip_replacement(failed, spare, "id").collect()} == {(3, 2, 1), (5, 8, 2)}
+
+
+def test_brace_functions():
+    code = """namespace N { class A {
+  /* void no() { */
+  private int f(
+      int a) {
+    for (;;) { g(a); }
+    while (x) { }
+  }
+  int h() { return "}".length(); }
+  abstract int none();
+}}
+static void main2(char **v) { struct s { int y; } z; }
+"""
+    assert parsing.braced(code) == [("f", 3, 7), ("h", 8, 8), ("main2", 11, 11)]
+    assert parsing.braced("") == parsing.braced("}}}{{{") == [] and parsing.braced("int f() {" * 20_000) == []
