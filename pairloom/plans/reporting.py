@@ -179,15 +179,32 @@ def p15(t: Tables) -> DataFrame:
     return _chat(t).select("mode", "pair_id", "answer", F.array_join("image_paths", ",").alias("images"), F.greatest(images, F.lit(0)).alias("n_images"))
 
 
+LEAD = "'" + prompts.INSTRUCTION + "' || chr(10) || chr(10) || 'Code 1 (language: Python):'"
+ONE, TWO = ("'```" + x + "' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10)" for x in ("python", "java"))
+
+
+@query(
+    "f12_mode_texts",
+    f"""SELECT mode, item_id::VARCHAR AS pair_id, md5(CASE mode WHEN 'b1' THEN {LEAD} || chr(10) || {ONE} || 'Code 2 (language: Java):' || chr(10) || {TWO} || 'Answer:'
+WHEN 'b3' THEN {LEAD} || '<image>' || chr(10) || chr(10) || 'Code 2 (language: Java):' || '<image>' || chr(10) || chr(10) || 'Answer:'
+ELSE {LEAD} || '<image>' || {ONE} || 'Code 2 (language: Java):' || '<image>' || {TWO} || 'Answer:' END) AS digest, '{prompts.SYSTEM}' AS system FROM benchmark, (VALUES ('b1'), ('b1ctrl'), ('b2'), ('b3')) m(mode)""",
+)
+def f12_modes(t: Tables) -> DataFrame:
+    """What each mode says, with a mark for each image."""
+    user = C("messages")[1]
+    parts = F.array_join(F.transform(user["content_parts"], lambda p: F.when(p["type"] == "image", "<image>").otherwise(p["text"])), "")
+    return _chat(t).select("mode", "pair_id", F.md5(F.coalesce(user["content_text"], parts)).alias("digest"), C("messages")[0]["content_text"].alias("system"))
+
+
 @query("p9_p10_plain_text", "SELECT m.mode, b.item_id::VARCHAR AS pair_id, 2 AS n_left, contains('x', 'x') AS asks FROM benchmark b, (VALUES ('b1'), ('b1ctrl'), ('b2'), ('b3')) m(mode)")
 def p9(t: Tables) -> DataFrame:
     user = C("messages")[1]
     return _chat(t).select("mode", "pair_id", F.size(prompts.without_answer(C("messages"))).alias("n_left"), prompts.plain(user["content_text"], user["content_parts"]).endswith("Answer:").alias("asks"))
 
 
-@query("f13_rebuilt_prompt", "SELECT item_id, length('Lead' || chr(10) || chr(10) || 'Code 1 (language: Python):' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) || 'Code 2 (language: Java):' || chr(10) || '```java' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) || 'Answer:') AS n FROM benchmark")
+@query("f13_rebuilt_prompt", "SELECT item_id, md5('Lead' || chr(10) || chr(10) || 'Code 1 (language: Python):' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) || 'Code 2 (language: Java):' || chr(10) || '```java' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) || 'Answer:') AS digest FROM benchmark")
 def f13(t: Tables) -> DataFrame:
-    return t.benchmark.select("item_id", F.length(prompts.rebuilt(prompts.user_text(F.lit("Python"), C("text"), F.lit("Java"), C("text")), "Lead")).cast("long").alias("n"))
+    return t.benchmark.select("item_id", F.md5(prompts.rebuilt(prompts.user_text(F.lit("Python"), C("text"), F.lit("Java"), C("text")), "Lead")).alias("digest"))
 
 
 @query("k14_stringified", "SELECT doc_id, '{\"lang\":\"' || lang || '\",\"n\":' || n_chars || '}' AS json FROM documents")
@@ -229,10 +246,10 @@ def f18(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(text.cleanup(C("html"))).alias("digest"))
 
 
-@query("f19_truncate", f"SELECT doc_id, least({LINES}, 12) AS n, {LINES} > 12 AS cut FROM documents")
+@query("f19_truncate", f"SELECT doc_id, least({LINES}, 12) AS n, {LINES} > 12 AS cut, md5(CASE WHEN {LINES} > 12 THEN array_to_string(string_split(text, chr(10))[1:11], chr(10)) || chr(10) || '// ... <truncated>' ELSE regexp_replace(text, '\\n$', '') END) AS digest FROM documents")
 def f19(t: Tables) -> DataFrame:
     short = text.truncate_lines(C("text"), 12)
-    return t.documents.select("doc_id", text.line_count(short).alias("n"), short.endswith("<truncated>").alias("cut"))
+    return t.documents.select("doc_id", text.line_count(short).alias("n"), short.endswith("<truncated>").alias("cut"), F.md5(short).alias("digest"))
 
 
 @query("f20_ascii_only", r"SELECT doc_id, md5(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g')) AS digest FROM documents")
@@ -287,6 +304,12 @@ def f29(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", cut.alias("x")).select("item_id", F.md5("x.first").alias("first"), F.md5("x.second").alias("second"))
 
 
+@query("f29_python_fragments", "SELECT item_id, md5('def f' || item_id || '():' || chr(10) || '  ' || md5(text)) AS first, md5('def g():' || chr(10) || '  ' || length(text)) AS second FROM benchmark")
+def f29_python(t: Tables) -> DataFrame:
+    said = F.concat(F.lit("def f"), C("item_id").cast("string"), F.lit("():\n  "), F.md5("text"), F.lit("\ndef g():\n  "), F.length("text").cast("string"))
+    return t.benchmark.select("item_id", text.split_fragments(said, python=True).alias("x")).select("item_id", F.md5("x.first").alias("first"), F.md5("x.second").alias("second"))
+
+
 @query("k13_f30_insertion", "SELECT item_id, 1 AS line, 4 AS indent, md5('class A {' || chr(10) || 'NEW' || chr(10) || '    int x;' || chr(10) || text) AS digest FROM benchmark")
 def k13(t: Tables) -> DataFrame:
     said = F.concat(F.lit("class A {\n    int x;\n"), C("text"))
