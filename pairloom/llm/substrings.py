@@ -6,9 +6,10 @@ grams with the smallest hash, so equal windows have equal anchors. Consecutive w
 span; a text of n bytes has about n/35 spans. Then:
 
 1. spans travel as (anchor hash, span hash, place). Within each input segment a span that repeats is settled
-   at once, so a copied span travels once per segment however many copies there are; dealt by both hashes, the
-   first place of each span goes on and later ones are removed;
-2. anchors with more than one span are counted, partly before the shuffle, and joined to their spans;
+   at once, so a copied span travels once per segment however many copies there are;
+2. sorted by anchor, a span that repeats as a whole is settled; spans that only share an anchor are kept. Anchors
+   that are frequent in a sample of texts are dealt by span instead: they have spans that differ, which are kept,
+   and equal ones still meet. The sample decides where rows go, never the result;
 3. the bytes of those spans, fetched once, form shards by anchor. Each shard's suffix array is built by
    induced sorting, and permuted common prefixes give the runs of suffixes that share WINDOW bytes; in each
    run the earliest place stays. An anchor with more than HOT different spans is keyed by whole windows
@@ -40,6 +41,9 @@ from pairloom.llm.suffixes import common_prefixes, suffix_array
 WINDOW, GRAM = 100, 32
 #: Spans settled together in a worker; different spans of one anchor that a shard takes; bytes in a shard.
 SEGMENT, HOT, SHARD = 1 << 18, 20_000, 4 << 20
+#: About how many texts are looked at for frequent anchors, and in how many of them an anchor is frequent.
+SAMPLE, FREQUENT = 4096, 8
+NONE = np.zeros(0, np.int64)
 #: Windows of a text worked on at once.
 CHUNK = 1 << 22
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -108,8 +112,9 @@ def spans(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 #: Places hold, above the offset, bits of a hash of the text, so that texts of one doc_id are told apart.
 MARK, OFFSET = (1 << 22) - 1, 40
-#: What travels between the steps: R is a removed range, S a span still open, T a span with its bytes.
-R, S, T = range(3)
+#: What travels between the steps: R is a removed range, C a span that shares its anchor, S a span still open,
+#: T a span with its bytes, H an open span of a frequent anchor.
+R, C, S, T, H = range(5)
 MOVED = "kind int, g long, s long, doc_id long, a long, b long"
 NAMES = ["kind", "g", "s", "doc_id", "a", "b"]
 
@@ -123,7 +128,7 @@ def _batch(kind: int, g: np.ndarray, s: np.ndarray, doc: np.ndarray, a: np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), kind, np.int32)), *(pa.array(np.ascontiguousarray(x, np.int64)) for x in (g, s, doc, a, b))], NAMES)
 
 
-def _settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+def _settle(held: list[tuple[np.ndarray, ...]], frequent: np.ndarray = NONE) -> Iterator[pa.RecordBatch]:
     """One segment: the first of equal spans travels on, the others are removed ranges."""
     g, s, doc, a, b = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((a, doc, g, s))
@@ -131,7 +136,10 @@ def _settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     new = np.append(True, (s[1:] != s[:-1]) | (g[1:] != g[:-1]))
     first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     later = (doc != doc[first]) | (a != a[first])
-    yield _batch(S, g[new], s[new], doc[new], a[new], b[new])
+    wide = new & np.isin(g, frequent)
+    for kind, some in ((S, new & ~wide), (H, wide)):
+        if some.any():
+            yield _batch(kind, g[some], s[some], doc[some], a[some], b[some])
     yield from _ranges(doc[later], a[later], b[later])
 
 
@@ -146,7 +154,7 @@ def _ranges(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.Record
         yield _batch(R, (doc[start].view(np.uint64) * np.uint64(MIX)).view(np.int64), np.zeros(len(start)), doc[start], a[start], np.maximum.reduceat(b, start))
 
 
-def _open_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open_spans(batches: Iterator[pa.RecordBatch], frequent: np.ndarray = NONE) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for batch in batches:
         for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -156,38 +164,69 @@ def _open_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append((g, s, np.full(len(g), i, np.int64), a + mark, b + mark))
                 size += len(g)
                 if size >= SEGMENT:
-                    yield from _settle(held)
+                    yield from _settle(held, frequent)
                     held, size = [], 0
     if held:
-        yield from _settle(held)
+        yield from _settle(held, frequent)
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Open spans sorted by (g, s, doc_id, a): the first of equal spans goes on, the others become R."""
-    first = None  # of the last span
+def _repeats(rows: np.ndarray, last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of spans sorted by (g, s, doc_id, a), after a first span `last`: those that repeat, the first ones, and the last of these."""
+    lead = int(last is not None)
+    rows = np.concatenate([[last], rows]) if lead else rows
+    new = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))
+    rep = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+    later = (rows[:, 2:4] != rows[rep, 2:4]).any(1)
+    new[:lead] = False  # it went on before
+    return rows[later], rows[new], rows[rep[-1]]
+
+
+def _sorted_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open spans sorted by (g, s, doc_id, a): whole repeats become R, different spans of one anchor, and those of frequent ones, C."""
+    first = prev = last_spread = None  # of the anchor that is still open, and the first of its last span
+    told = False
     for batch in batches:
         kind = batch.column("kind").to_numpy()
-        rows = np.stack([batch.column(c).to_numpy() for c in NAMES[1:]], 1)
-        if (kind == R).any():
-            yield _batch(R, *rows[kind == R].T)
-        rows = rows[kind != R]
+        g, s, doc, a, b = (batch.column(c).to_numpy() for c in NAMES[1:])
+        done = kind == R
+        if done.any():
+            yield _batch(R, g[done], s[done], doc[done], a[done], b[done])
+        rows = np.stack([g, s, doc, a, b], 1)
+        if (kind == H).any():
+            again, some, last_spread = _repeats(rows[kind == H], last_spread)
+            yield from _ranges(*again[:, 2:].T)
+            if len(some):
+                yield _batch(C, *some.T)
+        rows = rows[kind == S]
         if not len(rows):
             continue
-        lead = int(first is not None)
-        if lead:
-            rows = np.concatenate([[first], rows])
-        new = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))
-        rep = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
-        later = (rows[:, 2:4] != rows[rep, 2:4]).any(1)
+        lead = 0
+        if first is not None:
+            rows = np.concatenate([[first, prev], rows])
+            lead = 2
+        g, s = rows[:, 0], rows[:, 1]
+        new_g = np.append(True, g[1:] != g[:-1])
+        new_s = new_g | np.append(True, s[1:] != s[:-1])
+        at = np.arange(len(g))
+        head, rep = np.maximum.accumulate(np.where(new_g, at, 0)), np.maximum.accumulate(np.where(new_s, at, 0))
+        later = (at >= lead) & ((rows[:, 2] != rows[rep, 2]) | (rows[:, 3] != rows[rep, 3]))
         yield from _ranges(*rows[later][:, 2:].T)
-        new[:lead] = False  # it went on with the last batch
-        if new.any():
-            yield _batch(S, *rows[new].T)
-        first = rows[rep[-1]]
+        shared = new_s & ~new_g
+        shared[:lead] = False  # those are of the last batch
+        told_heads = np.unique(head[shared])
+        if lead and told:
+            told_heads = told_heads[told_heads > 0]
+        out = np.sort(np.concatenate([np.flatnonzero(shared), told_heads]))
+        if len(out):
+            yield _batch(C, *rows[out].T)
+        last = head[-1]
+        told = bool((shared & (head == last)).any()) or (bool(lead) and last == 0 and told)
+        first, prev = rows[last], rows[rep[-1]]
 
 
-def _settled(rows: DataFrame) -> DataFrame:
-    return map_arrow(rows.repartition("g", "s").sortWithinPartitions("g", "s", "doc_id", "a"), _repeats, MOVED)
+def _by_anchor(rows: DataFrame) -> DataFrame:
+    dealt = F.when(F.col("kind") == H, F.col("s")).otherwise(F.col("g"))
+    return map_arrow(rows.repartition(dealt).sortWithinPartitions("g", "s", "doc_id", "a"), _sorted_spans, MOVED)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,17 +291,33 @@ def _packed(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, packed binary")
 
 
+def frequent_anchors(docs: DataFrame) -> np.ndarray:
+    """Anchors that FREQUENT texts of a sample have, each counted once for equal spans."""
+    step = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text"):
+                for g, s, _, _ in spans(t.as_py().encode("utf-8", "surrogatepass")):
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(s)], ["g", "s"])
+
+    counted = map_arrow(some, run, "g long, s long").distinct().groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    return np.sort(np.array([r.g for r in counted.select("g").collect()], np.int64))
+
+
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, a, b): byte ranges to remove; they may overlap and repeat."""
     docs = texts(docs)
-    met = kept(_settled(map_arrow(docs, _open_spans, MOVED)), "spans")
-    first = met.where(F.col("kind") == S).select("g", "doc_id", "a", "b")
-    shared = kept(first.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", (F.col("n") > HOT).alias("hot")), "anchors")
-    asked = first.join(shared, "g").select("doc_id", F.struct("g", "a", "b", "hot").alias("x"))
+    spread = docs.sparkSession.sparkContext.broadcast(frequent_anchors(docs))  # at most SAMPLE / FREQUENT times the anchors of a text
+    met = kept(_by_anchor(map_arrow(docs, lambda batches: _open_spans(batches, spread.value), MOVED)), "spans")
+    asked = met.where(F.col("kind") == C).select("g", "doc_id", "a", "b")
+    hot = kept(asked.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("g", F.lit(True).alias("hot")), "hot")
+    asked = asked.join(hot, "g", "left").select("doc_id", F.struct("g", "a", "b", F.coalesce("hot", F.lit(False)).alias("hot")).alias("x"))
     asked = asked.groupBy("doc_id").agg(F.collect_list("x").alias("asked"))  # at most a text's own spans
     pieces = kept(map_arrow(_packed(docs).join(asked, "doc_id").select("doc_id", "packed", "asked"), _pieces, MOVED + ", piece binary"), "pieces")
     sharded = map_arrow(pieces.where(F.col("kind") == T).select("g", "doc_id", "a", "piece").repartition("g").sortWithinPartitions("g"), _shards, MOVED)
-    whole = _settled(pieces.where(F.col("kind") == S).select(*NAMES))
+    whole = _by_anchor(pieces.where(F.col("kind") == S).select(*NAMES))
     found = met.where(F.col("kind") == R).unionByName(sharded).unionByName(whole.where(F.col("kind") == R))
     return found.select("doc_id", "a", "b")
 

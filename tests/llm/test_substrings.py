@@ -61,9 +61,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, frequent", [(20_000, 8), (1, 8), (20_000, 1), (2, 2)])
+def test_against_brute_force(spark, monkeypatch, hot, frequent):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "FREQUENT", frequent)
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
     want = brute(corpus())
     assert sum(x[1] for x in want.values()) > 5000
@@ -79,22 +80,24 @@ def test_odd_rows(spark):
     assert substrings.digests(empty(spark)).count() == 0
 
 
-def test_small_segments_and_shards(monkeypatch):
-    """The steps that run in workers, in one process and in small pieces."""
+@pytest.mark.parametrize("least", [1, 3, 1000])
+def test_small_segments_and_shards(monkeypatch, least):
+    """The steps that run in workers, in one process and in small pieces; anchors of `least` spans count as frequent."""
     import pyarrow as pa
 
     monkeypatch.setattr(substrings, "SEGMENT", 37)
     monkeypatch.setattr(substrings, "SHARD", 500)
     monkeypatch.setattr(substrings, "CHUNK", 211)
     rows = corpus()
-    open_rows = [r for b in substrings._open_spans(iter([pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]}) for i, t in rows])) for r in b.to_pylist()]
+    many = Counter(g for _, t in rows for gs, *_ in substrings.spans(t.encode()) for g in gs.tolist())
+    frequent = np.array([g for g, n in many.items() if n >= least], np.int64)
+    open_rows = [r for b in substrings._open_spans(iter([pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]}) for i, t in rows]), frequent) for r in b.to_pylist()]
     open_rows.sort(key=lambda r: (r["g"], r["s"], r["doc_id"], r["a"]))
     schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in substrings.NAMES[1:])])
     batches = [pa.RecordBatch.from_pylist(open_rows[i : i + 23], schema) for i in range(0, len(open_rows), 23)]
-    met = [r for b in substrings._repeats(iter(batches)) for r in b.to_pylist()]
+    met = [r for b in substrings._sorted_spans(iter(batches)) for r in b.to_pylist()]
     texts = {i: t.encode() for i, t in rows}
-    many = Counter(r["g"] for r in met if r["kind"] == substrings.S)
-    asked = sorted((r for r in met if r["kind"] == substrings.S and many[r["g"]] > 1), key=lambda r: r["g"])
+    asked = sorted((r for r in met if r["kind"] == substrings.C), key=lambda r: r["g"])
     at = lambda r, c: r[c] - substrings.marked(texts[r["doc_id"]])
     pieces = [pa.RecordBatch.from_pylist([{"g": r["g"], "doc_id": r["doc_id"], "a": r["a"], "piece": texts[r["doc_id"]][at(r, "a") : at(r, "b")]}]) for r in asked]
     found = [r for r in met if r["kind"] == substrings.R] + [r for b in substrings._shards(iter(pieces)) for r in b.to_pylist()]
