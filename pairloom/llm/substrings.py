@@ -40,7 +40,7 @@ from pairloom.llm.suffixes import common_prefixes, suffix_array
 
 WINDOW, GRAM = 100, 32
 #: Spans settled together in a worker; different spans of one anchor that a shard takes; bytes in a shard.
-SEGMENT, HOT, SHARD = 1 << 18, 20_000, 4 << 20
+SEGMENT, HOT, SHARD = 1 << 18, 20_000, 2 << 20
 #: About how many texts are looked at for frequent anchors, and in how many of them an anchor is frequent.
 SAMPLE, FREQUENT = 4096, 8
 NONE = np.zeros(0, np.int64)
