@@ -5,7 +5,7 @@ Rice quotient, reads its low bits and applies its linear predictor (fixed predic
 any stream of one to eight channels and 4 to 24 bits: fixed and variable block sizes, a short last block, stereo
 decorrelation, wasted bits, partitioned Rice codes of both widths, escapes. Frame headers are checked by CRC-8,
 frames by CRC-16 and whole streams by their MD5; a mismatch is a ValueError. The coder writes mono streams of 8 bits
-in blocks of BLOCK samples (constant, verbatim, fixed and linear prediction) with a seek table, by which seek()
+in frames of FRAME samples, the last one shorter (constant, verbatim, fixed and linear prediction), with a seek table, by which seek()
 decodes a range of samples from the nearest point on; decoded PCM comes in blocks with sample offsets.
 
 A text's payload is its UTF-8 bytes with blanks appended up to a positive multiple of BLOCK; sample = byte
@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 
 from pairloom.llm.frames import kept, map_arrow, texts
 
-BLOCK, SLICE, SLICE_BYTES, RATE, SEEK_EVERY = 192, 4096, 1 << 20, 8000, 64
+BLOCK, SLICE, SLICE_BYTES, RATE = 192, 4096, 1 << 20, 8000
+#: Samples in a frame, and frames between seek points.
+FRAME, SEEK_EVERY = 12 * BLOCK, 8
 #: Linear predictors that the coder tries: the last sample, and the mean of the last eight.
 PREDICTORS = (((1,), 0), ((1,) * 8, 3))
 FIXED = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
@@ -71,30 +73,34 @@ def _wide(n: int) -> bytes:
 
 
 def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frames of BLOCK samples each as rows of bytes, and their lengths."""
-    lanes = len(samples)
+    """Frames of one size as rows of bytes, and their lengths."""
+    lanes, block = samples.shape
     x = samples.astype(np.int32)
-    best = np.full(lanes, 8 * BLOCK, np.int64)  # verbatim
+    best = np.full(lanes, 8 * block, np.int64)  # verbatim
     kind, rice = np.full(lanes, -1), np.zeros(lanes, np.int64)
     folded = []
     for n, (coefs, shift) in enumerate(PREDICTORS):
         order = len(coefs)
-        guess = sum(c * x[:, order - 1 - j : BLOCK - 1 - j] for j, c in enumerate(coefs)) >> shift
+        guess = sum(c * x[:, order - 1 - j : block - 1 - j] for j, c in enumerate(coefs)) >> shift
         rest = x[:, order:] - guess
         u = np.where(rest < 0, -2 * rest - 1, 2 * rest)
         folded.append(u)
         start = np.clip(np.log2(np.maximum(u.mean(1), 1)).astype(np.int64) - 1, 0, 12)
         for k in (start, start + 1):
-            cost = (u >> k[:, None]).sum(1) + (k + 1) * (BLOCK - order) + 8 * order + 6 + (9 + 5 * order if shift else 0)
+            cost = (u >> k[:, None]).sum(1) + (k + 1) * (block - order) + 8 * order + 6 + (9 + 5 * order if shift else 0)
             better = cost < best
             best, kind, rice = np.where(better, cost, best), np.where(better, n, kind), np.where(better, k, rice)
     kind = np.where((x == x[:, :1]).all(1), -2, kind)
 
     number, size = _number_bytes(numbers)
-    head = np.zeros((lanes, 12), np.uint8)
-    head[:, :4] = (0xFF, 0xF8, 0x10, 0x02)
+    code, lane = {192: 1, 576: 2, 1152: 3, 2304: 4}.get(block, 7), np.arange(lanes)
+    head = np.zeros((lanes, 14), np.uint8)
+    head[:, :4] = (0xFF, 0xF8, code << 4, 0x02)
     head[:, 4:11] = number
-    head[np.arange(lanes), 4 + size] = crc_rows(head, 4 + size, CRC8, 8).astype(np.uint8)
+    if code == 7:
+        head[lane, 4 + size], head[lane, 5 + size] = block - 1 >> 8, block - 1 & 255
+    size = size + 2 * (code == 7)
+    head[lane, 4 + size] = crc_rows(head, 4 + size, CRC8, 8).astype(np.uint8)
     body = np.zeros((lanes, 8 + int(np.where(kind == -2, 16, best).max(initial=16)) + 80), np.uint8)  # a byte for each bit
     bits = np.zeros(lanes, np.int64)
 
@@ -112,8 +118,8 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray,
         elif what == -1:
             at = put(rows, 0, 1 << 1, 8)
             raw = np.unpackbits((x[rows] & 255).astype(np.uint8), axis=1)
-            body[rows[:, None], at + np.arange(8 * BLOCK)] = raw
-            bits[rows] = at + 8 * BLOCK
+            body[rows[:, None], at + np.arange(8 * block)] = raw
+            bits[rows] = at + 8 * block
         else:
             coefs, shift = PREDICTORS[what]
             order = len(coefs)
@@ -140,7 +146,7 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray,
         rows = np.flatnonzero(lead == w)
         out[rows, :w] = head[rows, :w]
         out[rows, w:] = packed[rows, : out.shape[1] - w] if packed.shape[1] >= out.shape[1] - w else np.pad(packed[rows], ((0, 0), (0, out.shape[1] - w - packed.shape[1])))
-    crc, lane = crc_rows(out, length, CRC16, 16), np.arange(lanes)
+    crc = crc_rows(out, length, CRC16, 16)
     out[lane, length], out[lane, length + 1] = crc >> 8, crc & 255
     return out, length + 2
 
@@ -153,24 +159,29 @@ def payload(text: str) -> bytes:
 
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream for each payload, whose length is a positive multiple of BLOCK."""
-    sizes = np.array([len(p) // BLOCK for p in payloads], np.int64)
-    flat = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    numbers = np.arange(len(flat)) - np.repeat(first[:-1], sizes)
-    parts, lengths = [], []
-    for at in range(0, len(flat), SLICE):
-        rows, n = encode_frames(flat[at : at + SLICE].astype(np.int32) - 128, numbers[at : at + SLICE])
-        parts.append(rows[np.arange(rows.shape[1]) < n[:, None]].tobytes())
-        lengths.append(n)
-    length = np.concatenate([*lengths, np.zeros(0, np.int64)])
-    ends, data, out = np.concatenate([[0], np.cumsum(length)]), b"".join(parts), []
-    for p, a, b in zip(payloads, first[:-1].tolist(), first[1:].tolist()):
-        n = length[a:b]
+    jobs: dict[int, list[tuple[int, int]]] = {}
+    frames: list[list[bytes]] = []
+    for i, p in enumerate(payloads):
+        frames.append([b""] * -(-len(p) // FRAME))
+        for number in range(len(frames[i])):
+            jobs.setdefault(min(FRAME, len(p) - number * FRAME), []).append((i, number))
+    for size, all_of in jobs.items():
+        step = max(1, SLICE_BYTES // size)
+        for at in range(0, len(all_of), step):
+            some = all_of[at : at + step]
+            flat = np.frombuffer(b"".join(payloads[i][n * FRAME : n * FRAME + size] for i, n in some), np.uint8).reshape(-1, size)
+            rows, length = encode_frames(flat.astype(np.int32) - 128, np.array([n for _, n in some], np.int64))
+            for (i, n), row, m in zip(some, rows, length.tolist()):
+                frames[i][n] = row[:m].tobytes()
+    out = []
+    for p, parts in zip(payloads, frames):
+        sizes = [len(x) for x in parts]
         signed = (np.frombuffer(p, np.uint8) ^ 128).tobytes()
-        info = BLOCK.to_bytes(2, "big") * 2 + int(n.min()).to_bytes(3, "big") + int(n.max()).to_bytes(3, "big")
+        info = FRAME.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
         info += (RATE << 44 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5(signed, usedforsecurity=False).digest()
-        seek = b"".join((i * BLOCK).to_bytes(8, "big") + int(ends[a + i] - ends[a]).to_bytes(8, "big") + BLOCK.to_bytes(2, "big") for i in range(0, b - a, SEEK_EVERY))
-        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + data[ends[a] : ends[b]])
+        ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        seek = b"".join((n * FRAME).to_bytes(8, "big") + ends[n].to_bytes(8, "big") + min(FRAME, len(p) - n * FRAME).to_bytes(2, "big") for n in range(0, len(parts), SEEK_EVERY))
+        out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(parts))
     return out
 
 
@@ -485,7 +496,7 @@ def media(docs: DataFrame) -> DataFrame:
     return map_arrow(texts(docs), run, "doc_id long, n_bytes long, flac binary")
 
 
-def pcm_blocks(streams: DataFrame, blocks: int = SEEK_EVERY) -> DataFrame:
+def pcm_blocks(streams: DataFrame, blocks: int = 64) -> DataFrame:
     """(doc_id, sample_offset, pcm): decoded PCM of (doc_id, flac), in runs of blocks x BLOCK samples that can be sought by offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,4 +524,4 @@ def digests(docs: DataFrame) -> DataFrame:
             columns = [[len(p) for p in back], [sha(p) for p in back], [zlib.crc32(p[-16:]) for p in back], [len(f) for f in flacs], [sha(f) for f in flacs], [feature(p) for p in back]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds[2:]))], names)
 
-    return map_arrow(kept(media(docs), "media"), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(kept(media(docs), "media", zstd=9), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

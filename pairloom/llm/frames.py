@@ -36,15 +36,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str, zstd: int | None = None) -> DataFrame:
     """df written to the shared folder as Parquet and read back: lineage ends here.
 
     The rows outlive any executor, and a later stage reads only the columns it needs. All tables of an application
-    are in one folder, pairloom/{application}, which can go when its results are written.
+    are in one folder, pairloom/{application}, which can go when its results are written. zstd is a level of
+    compression for what the session's own codec hardly shrinks.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/pairloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    how = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(zstd)} if zstd else {}
+    df.write.options(**how).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -165,7 +165,7 @@ def test_seeking_reads_only_what_it_needs():
     at = len(said) - 1000
     assert (flac.seek(bytes(stream), at, 16)[:, 0] + 128).astype(np.uint8).tobytes() == said[at : at + 16]
     with pytest.raises(ValueError):
-        flac.seek(bytes(stream), 3 * flac.SEEK_EVERY * flac.BLOCK, 16)
+        flac.seek(bytes(stream), 3 * flac.SEEK_EVERY * flac.FRAME, 16)
 
 
 def test_long_text():
