@@ -3,7 +3,8 @@
 Every round is two aggregations and two joins over the edges alone, never over the documents; rounds grow
 with the logarithm of the longest chain. Each step is written to the shared folder, so an executor that is
 lost costs one step at most. Hubs are reduced by min(), partly before the shuffle; where their edges then meet
-that minimum both sides are plain scans, so that the skew-join rule can split a hub over many tasks.
+that minimum both sides are plain scans, so that the skew-join rule can split a hub over many tasks. They are merged, never
+broadcast, so that the driver holds no part of the edges.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from pairloom.llm.frames import kept
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    return kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+    return kept(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     least = kept(e.groupBy("u").agg(F.min("v").alias("m")), "least")
-    rest = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rest = e.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -6,6 +6,8 @@ close pair. Only distinct fingerprints are joined: exact copies meet in a group-
 shared by more than HOT distinct fingerprints is cut into tiles of bounded size, each of which returns a
 spanning forest of its links rather than its pairs; connectivity, and so the components, are the same.
 
+Tables that grow with the corpus are merged, never broadcast, as small as they are on disk: the driver would hold them whole.
+
 Null and empty texts have fingerprint zero and link like any other; long texts are hashed whole, in pieces.
 Repeated rows share one component. Ties need no rule: links are symmetric, and a component is named by its
 smallest doc_id (null only where all of its rows lack one). Extra columns are ignored. An empty table gives an
@@ -104,11 +106,11 @@ def links(reps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> Da
     """(u, v): links that connect exactly what close pairs of reps (fp, rep) connect."""
     keyed = reps.select("fp", "rep", F.explode(block_keys(F.col("fp"), distance, blocks)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = kept(keyed.join(shared, "key"), "blocks")
+    met = kept(keyed.join(shared.hint("merge"), "key"), "blocks")
     cold = met.where(F.col("n") <= HOT)
     a, b = cold.select("key", "fp", "rep"), cold.select("key", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance
-    plain = a.join(b, (a["key"] == b["key"]) & (F.col("fp") < F.col("fp2")) & close).select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()
+    plain = a.join(b.hint("merge"), (a["key"] == b["key"]) & (F.col("fp") < F.col("fp2")) & close).select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()
 
     tiles = F.ceil(F.col("n") / TILE)
     dealt = met.where(F.col("n") > HOT).withColumn("side", F.pmod(F.xxhash64("fp"), tiles))
@@ -131,9 +133,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     found = kept(fingerprints(docs, words), "fingerprints")
     reps = kept(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     stars = components(links(reps, distance, blocks))
-    roots = kept(reps.join(stars, reps["rep"] == stars["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "roots")
+    roots = kept(reps.join(stars.hint("merge"), reps["rep"] == stars["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "roots")
     # both sides are plain scans, so that a fingerprint of many copies is split by the skew-join rule
-    return found.join(roots, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.join(roots.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, per_cent: int = neartexts.PER_CENT) -> DataFrame:

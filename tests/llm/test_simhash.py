@@ -79,3 +79,17 @@ def test_components_of_a_chain(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(1, 201)} | {500: 400}
     assert components(edges.where("false")).count() == 0
+
+
+def test_no_table_of_the_corpus_is_broadcast(spark, monkeypatch):
+    from pairloom.llm import components
+
+    plans, plain = [], simhash.kept
+    seen = lambda df, *rest: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *rest)
+    monkeypatch.setattr(simhash, "kept", seen)
+    monkeypatch.setattr(components, "kept", seen)
+    docs = spark.createDataFrame([(i, f"some words of a text that number {i % 5} has too") for i in range(40)], "doc_id long, text string")
+    found = simhash.near_duplicates(docs)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == 40 and sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not any("Broadcast" in p for p in plans)
