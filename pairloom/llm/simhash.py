@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 def deduplicated(docs: DataFrame, per_cent: int = neartexts.PER_CENT) -> DataFrame:
     """docs with one document of each group of near copies: five-word shingles, a similarity of per_cent or more.
 
-    A similarity of 0.8 is beyond blocks of 64 bits (such pairs differ in ten bits on average), so this form
-    of the operator cuts wider fingerprints into blocks and verifies whole sets; see neartexts.
+    A similarity of 0.8 is beyond blocks of 64 bits (such pairs differ in ten bits on average), so this form of the
+    operator joins on blocks of wider SimHash fingerprints, takes their Hamming distance and verifies whole sets; see neartexts.
     """
     return neartexts.deduplicated(docs, per_cent)
