@@ -10,7 +10,9 @@ span; a text of n bytes has about n/35 spans. Then:
 2. sorted by anchor, a span that repeats as a whole is settled; spans that only share an anchor are kept. Anchors
    that are frequent in a sample of texts are dealt by span instead: they have spans that differ, which are kept,
    and equal ones still meet. The sample decides where rows go, never the result;
-3. the bytes of those spans, fetched once, form shards by anchor. Each shard's suffix array is built by
+3. the bytes of those spans, fetched once, form shards by anchor. Of a shard goes on what can share a window with another
+   span: equal windows hold their anchor at one place, so around it a stretch of WINDOW - STEP bytes at one of four offsets is
+   equal too; what shares none is left out, and the rest is trimmed to where it can. The shard's suffix array is built by
    induced sorting, and permuted common prefixes give the runs of suffixes that share WINDOW bytes; in each
    run the earliest place stays. An anchor with more than HOT different spans is keyed by whole windows
    instead and settled as in 1, so no shard grows with one passage;
@@ -39,6 +41,8 @@ from pairloom.llm.frames import kept, map_arrow, texts
 from pairloom.llm.suffixes import common_prefixes, suffix_array
 
 WINDOW, GRAM = 100, 32
+#: A window begins at most WINDOW - GRAM bytes before its anchor; spans are compared at offsets STEP apart.
+STEP = 17
 #: Spans settled together in a worker; different spans of one anchor that a shard takes; bytes in a shard.
 SEGMENT, HOT, SHARD = 1 << 18, 20_000, 2 << 20
 #: About how many texts are looked at for frequent anchors, and in how many of them an anchor is frequent.
@@ -267,18 +271,56 @@ def shard_ranges(doc: np.ndarray, a: np.ndarray, pieces: list[bytes]) -> Iterato
     yield from _ranges(where[later], place[later], place[later] + WINDOW)
 
 
+def shared_parts(g: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which, from, to): the spans, and the part of each, that hold all windows which spans of one anchor g share.
+
+    A window that begins `back` to `back` + STEP bytes before its anchor holds the WINDOW - STEP bytes from `back` before it on.
+    """
+    size = np.array([len(p) for p in pieces])
+    end = np.cumsum(size)
+    start, h = end - size, gram_hashes(b"".join(pieces))
+    hit = np.flatnonzero(h == np.repeat(g.view(np.uint64), size)[: len(h)])
+    own = np.searchsorted(end, hit, "right")
+    inside = hit + GRAM <= end[own]
+    place = hit[inside][np.unique(own[inside], return_index=True)[1]]  # the anchor is the leftmost in its span
+    low, high = np.zeros((2, len(pieces)), np.int64)
+    for back in range(0, WINDOW - GRAM, STEP):
+        x = place - back
+        fit = np.flatnonzero((x >= start) & (x + WINDOW - STEP <= end))
+        key = g[fit].view(np.uint64)
+        for at, odd in zip((0, GRAM, WINDOW - STEP - GRAM), ODD):
+            key = (key ^ h[x[fit] + at]) * np.uint64(odd)
+            key ^= key >> np.uint64(31)
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        some = fit[order[np.append(same, False) | np.append(False, same)]] if len(fit) else fit
+        low[some] = np.maximum(start[some], x[some] - STEP)
+        high[some] = np.maximum(high[some], np.minimum(end[some], x[some] + WINDOW))
+    which = np.flatnonzero(high - low >= WINDOW)
+    return which, (low - start)[which], (high - start)[which]
+
+
+def _shard(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The removed ranges of whole anchors (g, doc_id, a, piece)."""
+    g, doc, a, pieces = zip(*held)
+    which, low, high = shared_parts(np.array(g, np.int64), list(pieces))
+    if len(which):
+        some = [pieces[i][x:y] for i, x, y in zip(which.tolist(), low.tolist(), high.tolist())]
+        yield from shard_ranges(np.array(doc)[which], np.array(a)[which] + low, some)
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces sorted by anchor, cut into shards between anchors."""
     held, size, last = [], 0, None
     for batch in batches:
         for r in zip(*(batch.column(c).to_pylist() for c in ("g", "doc_id", "a", "piece"))):
             if size >= SHARD and r[0] != last:
-                yield from shard_ranges(np.array([x[1] for x in held]), np.array([x[2] for x in held]), [x[3] for x in held])
+                yield from _shard(held)
                 held, size = [], 0
             held.append(r)
             size, last = size + len(r[3]), r[0]
     if held:
-        yield from shard_ranges(np.array([x[1] for x in held]), np.array([x[2] for x in held]), [x[3] for x in held])
+        yield from _shard(held)
 
 
 def _packed(docs: DataFrame) -> DataFrame:

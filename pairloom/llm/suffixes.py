@@ -78,26 +78,25 @@ def _induce(t: np.ndarray, size: int, smaller: np.ndarray, lms: np.ndarray) -> n
 def _induce_each(t: np.ndarray, size: int, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
     count = np.bincount(t, minlength=size)
     stops = np.cumsum(count)
-    sa, letter, small = [0] * len(t), t.tolist(), smaller.tolist()
+    sa, letter = [0] * len(t), t.tolist()
     tails = stops.tolist()
     for p in lms[::-1].tolist():
         c = letter[p]
         tails[c] -= 1
         sa[tails[c]] = p
-    heads = (stops - count).tolist()
-    for i in range(len(sa)):
-        p = sa[i] - 1
-        if p >= 0 and not small[p]:
-            c = letter[p]
-            sa[heads[c]] = p
+    before = np.append(-1, t[:-1].astype(np.int64))  # the letter that a scan puts before a suffix, or -1
+    heads, into = (stops - count).tolist(), np.where(np.append(True, smaller[:-1]), -1, before).tolist()
+    for p in sa:  # the scan meets what it has placed further on
+        c = into[p]
+        if c >= 0:
+            sa[heads[c]] = p - 1
             heads[c] += 1
-    tails = stops.tolist()
-    for i in range(len(sa) - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and small[p]:
-            c = letter[p]
+    tails, into = stops.tolist(), np.where(np.append(False, smaller[:-1]), before, -1).tolist()
+    for p in reversed(sa):
+        c = into[p]
+        if c >= 0:
             tails[c] -= 1
-            sa[tails[c]] = p
+            sa[tails[c]] = p - 1
     return np.array(sa, np.int64)
 
 

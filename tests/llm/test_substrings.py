@@ -123,3 +123,33 @@ def test_a_long_text(spark):
     rows = [(1, said), (2, "x " + said[300_000:] + prose(5, 50)), (3, prose(6, 150_000))]
     got = {r.doc_id: r.n_removed for r in substrings.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == got[3] == 0 and abs(got[2] - len(said[300_000:])) < 30
+
+
+def test_shards_take_only_what_can_be_shared(monkeypatch):
+    """All windows that spans of one anchor share are in the parts that go on; spans that share the anchor alone are not."""
+    r = random.Random(8)
+    by_anchor: dict[int, set[bytes]] = {}
+    said = [prose(i, 60) for i in range(40)]
+    texts = [prose(900 + i, 12) + said[r.randrange(40)][r.randrange(90) :] + prose(600 + i, 12) for i in range(300)]
+    gram = prose(77, 40)[:34]  # many texts that share little more than a gram
+    texts += [prose(2000 + i, 25) + gram + prose(3000 + i, 25) for i in range(200)]
+    for raw in (t.encode() for t in texts):
+        for gs, _, a, b in substrings.spans(raw):
+            for g, x, y in zip(gs.tolist(), a.tolist(), b.tolist()):
+                by_anchor.setdefault(g, set()).add(raw[x:y])
+    rows = [(g, i, 0, p) for g, found in sorted(by_anchor.items()) if len(found) > 1 for i, p in enumerate(sorted(found))]
+    which, low, high = substrings.shared_parts(np.array([x[0] for x in rows]), [x[3] for x in rows])
+    part = {i: (x, y) for i, x, y in zip(which.tolist(), low.tolist(), high.tolist())}
+    held: dict[tuple, list] = {}
+    for i, (g, _, _, p) in enumerate(rows):
+        for at in range(len(p) - 99):
+            held.setdefault((g, p[at : at + 100]), []).append((i, at))
+    shared = [x for found in held.values() if len(found) > 1 for x in found]
+    assert len(shared) > 1000
+    assert all(i in part and part[i][0] <= at and at + 100 <= part[i][1] for i, at in shared)
+    alone = set(range(len(rows))) - {i for i, _ in shared}
+    assert len(alone) > 100 and sum(i in part for i in alone) < len(alone) / 3
+    sorted_bytes, plain = [], substrings.suffix_array
+    monkeypatch.setattr(substrings, "suffix_array", lambda t: sorted_bytes.append(len(t)) or plain(t))
+    list(substrings._shard(rows))
+    assert sum(sorted_bytes) < 0.9 * sum(len(x[3]) for x in rows)
