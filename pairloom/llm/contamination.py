@@ -37,6 +37,8 @@ from pairloom.llm.frames import map_arrow, texts
 Q, BUDGET, ITEMS_BYTES = 8, 0.1, 4 << 20
 #: Bytes of texts worked on together, and pairs of q-grams counted together.
 BUFFER, PAIRS = 1 << 20, 1 << 22
+#: Places, and lanes, looked at together.
+STEP = 1 << 17
 #: Alignments done in step, and the narrowest band.
 LANES, NARROW = 1024, 32
 TABLE_LOG2 = 20
@@ -119,7 +121,7 @@ class Items:
     def bands(self, x: np.ndarray) -> np.ndarray:
         """(item, first diagonal) of the bands, two widths each, that meet their item's bound."""
         gram = grams(x)
-        at = np.flatnonzero(self.seen[self._slot(gram)])
+        at = np.concatenate([np.zeros(0, np.int64), *(i + np.flatnonzero(self.seen[self._slot(gram[i : i + STEP])]) for i in range(0, len(gram), STEP))])
         which = np.searchsorted(self.gram, gram[at])
         fine = which < len(self.gram)
         fine[fine] = self.gram[which[fine]] == gram[at[fine]]
@@ -138,12 +140,18 @@ class Items:
             item = self.item[source]
             key = base[item] + (np.repeat(at[i:j], n) - self.place[source] + self.size[item]) // self.width[item] + 1
             if dense:
-                total += np.bincount(key, minlength=len(total)).astype(np.int32)
+                np.add.at(total, key, np.int32(1))
             else:
                 keys.append(np.unique(key, return_counts=True))
             i = j
         if dense:
-            met = np.flatnonzero(total[:-1] + total[1:] >= np.repeat(np.maximum(self.bound, 1), lanes)[: max(len(total) - 1, 0)])
+            least, met = np.maximum(self.bound, 1), [np.zeros(0, np.int64)]
+            for i in range(0, len(total) - 1, STEP):
+                two = total[i : i + STEP]
+                two = two[: len(total) - 1 - i] + total[i + 1 : i + 1 + len(two)]
+                some = np.flatnonzero(two >= least.min())
+                met.append(i + some[two[some] >= least[np.searchsorted(base, i + some, "right") - 1]])
+            met = np.concatenate(met)
         elif keys:
             key, where = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True)
             n = np.bincount(where, np.concatenate([c for _, c in keys])).astype(np.int64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,7 +57,23 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 
+def trimmed() -> None:
+    """Hand what this process has freed back to the system: Python workers outlive their tasks, and wait beside the executor's next ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow with batches bounded in bytes."""
+    """df.mapInArrow with batches bounded in bytes; a task starts and ends without memory that only the allocator holds."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
+        try:
+            yield from f(batches)
+        finally:
+            trimmed()
+
+    return df.mapInArrow(run, schema)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -127,6 +128,18 @@ def test_blocks_of_items(spark, monkeypatch):
     assert [r.doc_id for r in c.clean(docs, bench).collect()] == [9]
 
 
+def test_memory_of_a_search():
+    """What a search of a buffer of texts against 200 items takes, besides its input, fits beside another worker's."""
+    search = c.searcher(c.Items(list(range(200)), [c.folded(prose(300 + i, 60))[0] for i in range(200)]))
+    said = [prose(i, 2_000) for i in range(120)]
+    tracemalloc.start()
+    try:
+        search(said)
+        assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_odd_rows(spark):
     bench = spark.createDataFrame([(1, prose(1, 80)), (2, ""), (None, "x" * 300)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in c.contaminated(odd(spark), bench).collect()}
