@@ -21,7 +21,7 @@ classes the score is the known share, or 0. An empty table gives an empty table.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,14 +35,29 @@ from pairloom.llm.frames import kept, map_arrow, texts
 
 EXAMPLES, NEIGHBOURS, BLOCK, DENSE, PRIOR = 4096, 25, 64, 2, 1.0
 WORD = regex.compile(r"\p{L}+")
+#: Latin-1 bytes as WORD finds their lower case: letters, and blanks for all others.
+LATIN = bytes(ord(c.lower()) if WORD.fullmatch(c.lower()) else 32 for c in map(chr, range(256)))
 #: Texts whose answers a worker remembers, by digest.
 MEMO = 20_000
 
 
+def words(text: str) -> list[bytes]:
+    """A text's terms in lower case, as UTF-8."""
+    try:
+        said = text.encode("latin-1").translate(LATIN)
+    except UnicodeEncodeError:
+        return " ".join(WORD.findall(text.lower())).encode("utf-8", "surrogatepass").split()
+    return (said if text.isascii() else said.decode("latin-1").encode()).split()
+
+
+def hashes(terms: Collection[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms)).view(np.int64)
+
+
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of a text's terms, sorted, and how often each occurs."""
-    found = Counter(WORD.findall(text.lower()))
-    keys = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in found), np.uint64, len(found)).view(np.int64)
+    found = Counter(words(text))
+    keys = hashes(found)
     order = np.argsort(keys)
     return keys[order], np.fromiter(found.values(), np.int64, len(found))[order]
 
@@ -215,7 +230,7 @@ def build(docs: DataFrame, examples: DataFrame) -> Index:
         for b in batches:
             df[size] += b.num_rows
             for t in b.column("text"):
-                df[places(shared.value, counted(t.as_py())[0])[1]] += 1
+                df[places(shared.value, np.sort(hashes(set(words(t.as_py())))))[1]] += 1
         there = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(df[there])], ["t", "n"])
 

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import math
+import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from helpers import empty, odd, odd_rows, prose
 from pyspark.sql import functions as F
 
@@ -35,6 +38,25 @@ def test_search_is_exact(monkeypatch, dense):
         assert set(near.tolist()) == want and np.allclose(np.sort(score), np.sort(sims[sorted(want)]))
 
 
+def test_terms_and_what_they_take():
+    """Terms are the runs of letters in lower case, whatever the text's characters; Latin-1 texts need no pattern."""
+    r = random.Random(3)
+    pools = [[chr(i) for i in range(128)], [chr(i) for i in range(256)], [*map(chr, range(256)), *"œŒİıΣσςẞ’“ÅK𝐀Ⅷ²½\ud800"]]
+    for said in ["", "ÀÉÿ ß µ ª", "ΟΔΟΣ İ", *("".join(r.choice(pool) for _ in range(400)) for pool in pools for _ in range(100))]:
+        found = Counter(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in toxicity.WORD.findall(said.lower()))
+        keys, tf = toxicity.counted(said)
+        assert dict(zip(keys.view(np.uint64).tolist(), tf.tolist())) == found and (np.diff(keys) > 0).all()
+
+    def seconds(f):
+        began = time.process_time()
+        for t in texts:
+            f(t)
+        return time.process_time() - began
+
+    texts = [prose(i, 500) + " é" for i in range(100)]
+    assert min(seconds(lambda t: toxicity.words(t)) for _ in range(3)) < 0.5 * min(seconds(lambda t: toxicity.WORD.findall(t.lower())) for _ in range(3))
+
+
 def corpus(spark):
     bad = ["grot", "flim", "zurk"]
     rows = [(i, prose(i, 40) + (f" {bad[i % 3]} " + prose(i + 900, 9) if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(600)]
